@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.bpe import op8_bpe
 from tidelog.llm.decontaminate import op10_decontaminate
 from tidelog.llm.language_id import op1_language_id
+from tidelog.llm.pii import op7_pii
 from tidelog.llm.quality_rules import op9_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op7_pii": op7_pii,
+    "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
