@@ -11,13 +11,21 @@ from tidelog.llm.decontaminate import op10_decontaminate
 from tidelog.llm.language_id import op1_language_id
 from tidelog.llm.pii import op7_pii
 from tidelog.llm.quality_rules import op9_quality_rules
+from tidelog.llm.sharding import op3_sharding
+from tidelog.llm.token_planes import op5_token_planes
+from tidelog.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
+    "op5_token_planes": op5_token_planes,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+}
