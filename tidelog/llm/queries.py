@@ -11,6 +11,7 @@ from tidelog.llm.decontaminate import op10_decontaminate
 from tidelog.llm.language_id import op1_language_id
 from tidelog.llm.pii import op7_pii
 from tidelog.llm.quality_rules import op9_quality_rules
+from tidelog.llm.repeated_passages import op6_repeated_passages
 from tidelog.llm.sharding import op3_sharding
 from tidelog.llm.token_planes import op5_token_planes
 from tidelog.llm.warc import OP4_SQL, op4_warc
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
     "op5_token_planes": op5_token_planes,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
