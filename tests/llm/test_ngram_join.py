@@ -1,0 +1,154 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidelog.llm import graph, ngram_join as J
+from tidelog.llm.skip_join import Group
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if len(words) < 5:
+        return frozenset([tuple(words)]) if words else frozenset()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def roots(n, pairs):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def similar_pairs(sets):
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+
+
+def brute(rows):
+    """rows: (id, text) -> sorted (id, size, component)."""
+    sets = [shingles(t) for _, t in rows]
+    root = roots(len(rows), similar_pairs(sets))
+    least = {}
+    for (d, _), r in zip(rows, root):
+        if d is not None:
+            least[r] = min(least.get(r, d), d)
+    return sorted(((d, len(s), least.get(r)) for (d, _), s, r in zip(rows, sets, root)), key=str)
+
+
+def corpus(seed, n=150, vocabulary=400):
+    """Bases with copies at every distance, shared passages and short texts."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(vocabulary)}"
+    passage = [word() for _ in range(30)]
+    bases = [[word() for _ in range(rng.choice([6, 20, 60, 150]))] for _ in range(12)]
+    out = []
+    for _ in range(n):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 6, 12])):
+            k = rng.randrange(len(words))
+            kind = rng.random()
+            if kind < 0.6:
+                words[k] = word()
+            elif kind < 0.8:
+                words.insert(k, word())
+            elif len(words) > 2:
+                del words[k]
+        if rng.random() < 0.2:
+            words = passage + words
+        out.append(" ".join(words).title() if rng.random() < 0.2 else "  ".join(words))
+    return out + [None, "", " \n", "one two", "One TWO", "one two three"]
+
+
+def as_arrays(sets):
+    names = {}
+    return [np.sort(np.array([names.setdefault(t, len(names)) for t in s], dtype=np.uint64)) for s in sets]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_group_against_all_pairs(seed):
+    sets = [s for s in dict.fromkeys(shingles(t) for t in corpus(seed, vocabulary=[400, 40][seed % 2])) if s]
+    want = roots(len(sets), similar_pairs(sets))
+    got = Group(as_arrays(sets)).labels()
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 14), min_size=1, max_size=14), min_size=1, max_size=14, unique=True))
+def test_group_random(sets):
+    want = roots(len(sets), similar_pairs(sets))
+    got = Group(as_arrays(sets)).labels()
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_derived_answers_are_exact():
+    base = list(range(300))
+    rng = random.Random(4)
+    sets = [np.sort(np.array(rng.sample(base, 290) + [1000 + k], dtype=np.uint64)) for k in range(40)]
+    g = Group(sets)
+    for x in range(40):
+        assert g.answer(x).tolist() == [len(np.intersect1d(sets[x], s)) for s in sets]
+    assert 0 < len(g.answers) < 40
+
+
+def test_graph(spark):
+    rng = random.Random(2)
+    for edges in ([], [(1, 1)], [(k, k + 1) for k in range(60)], [(rng.randrange(90), rng.randrange(90)) for _ in range(70)], [(0, k) for k in range(1, 50)] + [(99, 49)]):
+        frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+        got = dict(tuple(r) for r in graph.components(frame).collect())
+        root = roots(120, edges)
+        assert got == {x: root[x] for x in {x for e in edges if e[0] != e[1] for x in e}}
+
+
+def test_frame(spark):
+    rows = [(k * 2 + 1, t) for k, t in enumerate(corpus(20))]
+    rows += [(1000 + k, rows[0][1]) for k in range(30)]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, skey string").repartition(7)
+    got = sorted(map(tuple, J.jaccard_components(docs).collect()), key=str)
+    want = brute(rows)
+    assert got == want
+    kept = J.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({d for d, n, c in want if d == c})
+    assert J.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    texts = [t for t in corpus(21, 20) if t]
+    rows = [(5, texts[0]), (5, texts[0]), (5, texts[1]), (None, texts[0]), (None, "solo text of six words here"), (None, None), (7, "solo Text of six words here"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, J.jaccard_components(docs).collect()), key=str)
+    # ids name the rows of a component; empty rows are their own
+    assert got == brute(rows)
+    kept = J.one_of_each(docs).collect()
+    assert len(kept) == len({c for c in roots(len(rows), similar_pairs([shingles(t) for _, t in rows]))})
+
+
+def test_large_groups(spark, monkeypatch):
+    rows = list(enumerate(corpus(22, 200)))
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(5)
+    monkeypatch.setattr(J, "PIVOTS", 3)
+    join_large = J.join_large
+    monkeypatch.setattr(J, "join_large", lambda sets, percent: join_large(sets, percent, pivots=3, rounds=2, block_tokens=1500))
+    got = sorted(map(tuple, J.similar(docs, group_tokens=200).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute(rows)
+    assert sorted(map(tuple, J.op2_ngram_join(spark, sf).collect()), key=str) == want
+    assert any(d != c for d, _, c in want)

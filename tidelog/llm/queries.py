@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.bpe import op8_bpe
 from tidelog.llm.decontaminate import op10_decontaminate
 from tidelog.llm.language_id import op1_language_id
+from tidelog.llm.ngram_join import op2_ngram_join
 from tidelog.llm.pii import op7_pii
 from tidelog.llm.quality_rules import op9_quality_rules
 from tidelog.llm.repeated_passages import op6_repeated_passages
@@ -18,6 +19,7 @@ from tidelog.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_ngram_join": op2_ngram_join,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
     "op5_token_planes": op5_token_planes,
