@@ -26,14 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.common import map_batches, tables
 
 #: Pretokens kept by an encoder before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Characters of text split before their pretokens are looked up, and pretokens encoded in one text.
+TEXT_CHARS = 1 << 20
+JOIN_WORDS = 256
 #: Pretokens longer than this are encoded each time.
 CACHE_CHARS = 64
 
-#: Characters on which the standard library's classes agree with the tokenizers' \p{L}, \p{N} and \s.
-_ODD = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]")
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
+#: Texts of these characters alone are split by the standard library; on them the classes below are \p{L}, \p{N} and \s.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+_ODD = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_LETTERS}0-9\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+#: Pretokens that may be encoded many in one text, a line break between.
+_JOINABLE = re.compile(rf" ?[{_LETTERS}]+")
 
 @cache
 def byte_characters() -> dict[int, str]:
@@ -86,15 +91,28 @@ class Encoder:
         special = {k for k, t in tokenizer.get_added_tokens_decoder().items()}
         self.table = [t.encode() if k in special else bytes(back[c] for c in t) for k, t in enumerate(names)]
         self.known: dict[str, bytes] = {}
+        ids = tokenizer.encode("\n", add_special_tokens=False).ids
+        apart = split is None and len(ids) == 1 and tokenizer.encode("a\n b\n", add_special_tokens=False).ids.count(ids[0]) == 2
+        self.line_break = ids[0] if apart else None
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
+        new = words - self.known.keys()
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            new = words
+        joined = [w for w in new if _JOINABLE.fullmatch(w)] if self.line_break is not None else []
+        for at in range(0, len(joined), JOIN_WORDS):
+            group = joined[at : at + JOIN_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([*group, ""])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_break)
+            if len(ends) != len(group):
+                raise ValueError("the tokenizer joins words over line breaks")
+            packed, start = ids.tobytes(), 0
+            for w, end in zip(group, (4 * ends).tolist(), strict=True):
+                self.known[w] = packed[start:end]
+                start = end + 4
+        rest = list(new.difference(joined))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def pretokens(self, text: str) -> list[str] | None:
@@ -105,18 +123,28 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        held: list[tuple[str, list[str] | None]] = []
+        size = 0
         for text in texts:
-            words = self.pretokens(text)
-            if words is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                continue
-            get = self.known.get
-            parts = list(map(get, words))
-            if None in parts:
-                self._learn({w for w, p in zip(words, parts, strict=True) if p is None and len(w) <= CACHE_CHARS})
-                get = self.known.get
-                parts = [get(w) or self._alone(w) for w in words]
-            yield b"".join(parts)
+            held.append((text, self.pretokens(text)))
+            size += len(text)
+            if size >= TEXT_CHARS:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, held: list[tuple[str, list[str] | None]]) -> Iterator[bytes]:
+        words = set().union(*(w for _, w in held if w is not None))
+        long = max(map(len, words), default=0) > CACHE_CHARS
+        if not words <= self.known.keys():
+            self._learn({w for w in words if len(w) <= CACHE_CHARS} if long else words)
+        for text, own in held:
+            if own is None:
+                yield self._alone(text)
+            elif long:
+                yield b"".join(self.known[w] if len(w) <= CACHE_CHARS else self._alone(w) for w in own)
+            else:
+                yield b"".join(map(self.known.__getitem__, own))
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -3,7 +3,8 @@
 A file holds the ids of many documents one after another, as unsigned 32-bit
 integers.  They are cut into blocks of ``BLOCK_IDS``; a block is transposed
 into planes, one for each bit or byte, each plane is compressed with
-zstandard, and planes above the highest bit in use are left out.  The index at
+zstandard, and planes above the highest in use are left out.  Byte planes are the default, being
+smaller here and faster.  The index at
 the end says where each chunk lies and what documents the file holds, so that
 one chunk or one document can be read alone.
 
@@ -73,7 +74,7 @@ class Writer:
     """Takes documents in order and writes one file."""
 
     out: pa.NativeFile
-    unit: str = "bit"
+    unit: str = "byte"
     block: int = BLOCK_IDS
     held: list[np.ndarray] = field(default_factory=list)
     n_held: int = 0
@@ -185,7 +186,7 @@ class Reader:
             yield d if named else None, start, pieces(n)
 
 
-def write(docs: DataFrame, path: str, folder: str, unit: str = "bit", doc: str = "doc_id", text: str = "text") -> DataFrame:
+def write(docs: DataFrame, path: str, folder: str, unit: str = "byte", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes the texts by the tokenizer file and writes files in ascending order of ids.
 
     Returns a row a file: part, path, documents, ids; the files' order is that of part.
