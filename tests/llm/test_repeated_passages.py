@@ -119,13 +119,12 @@ def test_hot_triggers_are_split_by_window(spark, monkeypatch):
     rows = list(enumerate(texts(11)))
     own = R.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
     parts = 16
-    parsed = R.parse(own, parts)
-    found = R.dictionary(parsed, parts).cache()
+    found = R.dictionary(R.parse(own, parts), parts).cache()
     from pyspark.sql import functions as F
 
     todo = found.filter("triggers is not null").withColumn("strings", F.lit(R.SPLIT * 7)).groupBy("doc").agg(F.collect_list(F.struct("a", "b", "triggers", "strings")).alias("phrases"))
-    seen = R.windows(own.join(todo, "doc").select("doc", "text", "phrases"), parts).cache()
-    gone = parsed.unionByName(found).unionByName(seen).unionByName(R.ordered(seen)).filter("part is null and triggers is null")
+    seen = R.windows(own.join(todo, "doc").select("doc", "text", "phrases"), parts)
+    gone = found.unionByName(R.ordered(seen)).filter("triggers is null")
     spans = gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     assert sorted(rows_of(R.cut(own, spans, 1))) == sorted(brute(rows, 100))
 

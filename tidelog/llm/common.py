@@ -78,7 +78,7 @@ def text_or_empty(column: str = "text") -> Column:
 
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, name: str = "text") -> DataFrame:
     """mapInArrow over slices of bounded text size."""
-    from tidelog.llm.wordhash import text_chunks
+    from tidelog.llm.wordhash import text_chunks, tidy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +87,7 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch |
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -33,25 +33,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import wordhash as W
-from tidelog.llm.common import broadcast_if_small, folder_bytes, shuffle_partitions, tables, written
+from tidelog.llm.common import broadcast_if_small, shuffle_partitions, tables, written
 
 LENGTH = 100
 GRAM = 32
 #: Bytes hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Phrases or windows that a task combines at a time before it passes them on.
-COMBINE = 1 << 20
+COMBINE = 1 << 18
 #: Phrases of one trigger that one task compares window by window; more are split by window.
 SPLIT = 20_000
-BROADCAST_BYTES = 24 << 20
+#: A table is broadcast if it takes at most so many bytes in memory.
+BROADCAST_BYTES = 12 << 20
 #: Set in a phrase's count of windows if it may hold two that are equal.
 AGAIN = 1 << 31
 
@@ -172,8 +173,11 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(BLOCK_NAMES, _BLOCK_KINDS, strict=True)], names=BLOCK_NAMES)
 
 
-def _covered(doc: np.ndarray, first: np.ndarray, windows: np.ndarray, length: int) -> pa.RecordBatch:
-    """Rows of bytes to remove: document, first byte, byte after the last; joined where they meet."""
+def _covered(doc: np.ndarray, first: np.ndarray, windows: np.ndarray, length: int, parts: int = 0) -> pa.RecordBatch:
+    """Rows of bytes to remove: document, first byte, byte after the last; joined where they meet.
+
+    With parts, each also names a part, to travel with blocks.
+    """
     order = np.lexsort((first, doc))
     d, a, b = doc[order], first[order].astype(np.int64), (first[order].astype(np.int64) + windows[order] + length - 1)
     new = np.ones(len(d), dtype=bool)
@@ -181,7 +185,8 @@ def _covered(doc: np.ndarray, first: np.ndarray, windows: np.ndarray, length: in
     new[1:] = (d[1:] != d[:-1]) | (a[1:] > top[:-1])
     at = np.flatnonzero(new)
     ends = np.append(at[1:], len(d)) - 1
-    return _batch(doc=d[at], a=a[at], b=top[ends])
+    route = {"part": (d[at] % parts).astype(np.int32)} if parts else {}
+    return _batch(doc=d[at], a=a[at], b=top[ends], **route)
 
 
 def _lanes(d: np.ndarray) -> np.ndarray:
@@ -214,7 +219,7 @@ def _blocks_by_part(part: np.ndarray, arrays: list[tuple[np.ndarray, str]]) -> p
 
 
 def parse(docs: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
-    """Blocks of dictionary phrases by part of the triggers, and rows of bytes known to go.
+    """Blocks of phrases by part of the triggers, and rows of bytes known to go.
 
     Of equal phrases within a task only the first goes on.
     """
@@ -224,7 +229,7 @@ def parse(docs: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
         order, first = _first_of_each([trigger, mark], doc, start)
         gone, stay = order[~first], np.sort(order[first])
         if len(gone):
-            yield _covered(doc[gone], start[gone], count[gone] & (AGAIN - 1), length)
+            yield _covered(doc[gone], start[gone], count[gone] & (AGAIN - 1), length, parts)
         part = (trigger[stay] >> np.uint64(32)) % np.uint64(parts)
         yield _blocks_by_part(part.astype(np.int64), [(trigger[stay] & np.uint64(0xFFFFFFFF), "<u4"), (mark[stay], "<u8"), (doc[stay], "<i8"), (start[stay], "<u4"), (count[stay], "<u4")])
 
@@ -242,7 +247,17 @@ def parse(docs: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
         if n:
             yield from combined(held)
 
-    return docs.select("doc", "text").mapInArrow(run, BLOCK_DDL)
+    return docs.select("doc", "text").mapInArrow(W.tidy(run), BLOCK_DDL)
+
+
+def _only_blocks(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks; rows of bytes to remove that travel with them are put into ``passed``."""
+    for batch in batches:
+        block = batch.column("data").is_valid()
+        rows = batch.filter(pc.invert(block))
+        if rows.num_rows:
+            passed.append(rows.set_column(0, "part", pa.nulls(rows.num_rows, pa.int32())))
+        yield batch.filter(block)
 
 
 def _each_part(batches: Iterator[pa.RecordBatch], kinds: list[str], most: int) -> Iterator[tuple[int, list[np.ndarray], bool]]:
@@ -273,7 +288,10 @@ def dictionary(blocks: DataFrame, parts: int, length: int = LENGTH) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (trigger, mark, doc, start, count), split in _each_part(batches, _PHRASE, 4 * COMBINE):
+        passed: list[pa.RecordBatch] = []
+        for part, (trigger, mark, doc, start, count), split in _each_part(_only_blocks(batches, passed), _PHRASE, 8 * COMBINE):
+            while passed:
+                yield passed.pop()
             order, first = _first_of_each([trigger, mark], doc, start)
             gone, stay = order[~first], order[first]
             again = (count & AGAIN) > 0
@@ -289,7 +307,10 @@ def dictionary(blocks: DataFrame, parts: int, length: int = LENGTH) -> DataFrame
                 stay = stay[go_on]
                 yield _batch(doc=doc[stay], a=start[stay].astype(np.int64), b=count[stay], triggers=trigger[stay].astype(np.int64) * parts + part, strings=np.maximum(strings[go_on], SPLIT + 1 if split else 0))
 
-    return blocks.filter("part is not null").repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, BLOCK_DDL)
+        while passed:
+            yield passed.pop()
+
+    return blocks.repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part").mapInArrow(W.tidy(run), BLOCK_DDL)
 
 
 _WINDOWS = ["<u8", "<i8", "<u4"]  # fingerprint, document, place
@@ -307,7 +328,7 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
         order, first = _first_of_each([mark], doc, place)
         gone, stay = order[~first], np.sort(order[first])
         if len(gone):
-            yield _covered(doc[gone], place[gone], np.ones(len(gone), np.int64), length)
+            yield _covered(doc[gone], place[gone], np.ones(len(gone), np.int64), length, parts)
         yield _blocks_by_part(part[stay], [(mark[stay], "<u8"), (doc[stay], "<i8"), (place[stay], "<u4")])
 
     def of_text(raw: np.ndarray, doc: int, a: np.ndarray, b: np.ndarray, trigger: np.ndarray, strings: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -345,20 +366,25 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
         if n:
             yield from combined(held)
 
-    return todo.mapInArrow(run, BLOCK_DDL)
+    return todo.mapInArrow(W.tidy(run), BLOCK_DDL)
 
 
 def ordered(blocks: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows of bytes known to go: all but the first of equal windows, by content and corpus order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (mark, doc, place), _ in _each_part(batches, _WINDOWS, 1 << 62):
+        passed: list[pa.RecordBatch] = []
+        for _, (mark, doc, place), _ in _each_part(_only_blocks(batches, passed), _WINDOWS, 1 << 62):
             order, first = _first_of_each([mark], doc, place)
             gone = order[~first]
             if len(gone):
                 yield _covered(doc[gone], place[gone], np.ones(len(gone), np.int64), length)
+            while passed:
+                yield passed.pop()
+        while passed:
+            yield passed.pop()
 
-    return blocks.filter("part is not null").repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, BLOCK_DDL)
+    return blocks.repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part").mapInArrow(W.tidy(run), BLOCK_DDL)
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -386,19 +412,22 @@ def numbered(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
 def repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """For each numbered document that loses bytes: doc and spans, an array of (a, b)."""
-    spark = docs.sparkSession
-    parts = 4 * shuffle_partitions(spark)
-    parsed, _ = written(parse(docs, parts, length), "phrases")
-    found, _ = written(dictionary(parsed, parts, length), "dictionary")
+    parts = 4 * shuffle_partitions(docs.sparkSession)
+    found, _ = written(dictionary(parse(docs, parts, length), parts, length), "dictionary")
     todo = found.filter("triggers is not null").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "triggers", "strings")).alias("phrases"))
-    todo, path = written(todo, "dictionary-phrases")
-    texts = docs.select("doc", "text").join(broadcast_if_small(todo, folder_bytes(spark, path), broadcast_bytes), "doc")
-    seen, _ = written(windows(texts, parts, length), "windows")
-    last, _ = written(ordered(seen, length), "windows-in-order")
-    gone = parsed.unionByName(found).unionByName(seen).unionByName(last).filter("part is null and triggers is null").select("doc", "a", "b")
+    todo, _ = written(todo, "dictionary-phrases")
+    texts = docs.select("doc", "text").join(broadcast_if_small(todo, in_memory(todo, "phrases", 48), broadcast_bytes), "doc")
+    last, _ = written(ordered(windows(texts, parts, length), length), "windows-in-order")
+    gone = found.filter("triggers is null").unionByName(last).select("doc", "a", "b")
     return gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
+def in_memory(table: DataFrame, lists: str, each: int) -> int:
+    """About the bytes that a table of ids and lists takes when broadcast."""
+    rows, items = table.agg(F.count("*"), F.sum(F.size(lists))).first()
+    return 100 * rows + each * (items or 0)
+
+
 def cut(docs: DataFrame, spans: DataFrame, nbytes: int, keep_text: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Numbered documents with their spans cut out: doc_id, counts, a digest, and kept, the bytes left, if asked for."""
     joined = docs.join(broadcast_if_small(spans, nbytes, broadcast_bytes), "doc", "left")
@@ -422,13 +451,13 @@ def cut(docs: DataFrame, spans: DataFrame, nbytes: int, keep_text: bool = False,
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *columns[: 5 if keep_text else 4]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if keep_text else 5])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.select("doc_id", "text", "spans").mapInArrow(W.tidy(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, doc: str = "doc_id", text: str = "text") -> DataFrame:
     own = numbered(docs, doc, text)
-    spans, path = written(repeats(own, length), "removed-spans")
-    return cut(own, spans, folder_bytes(docs.sparkSession, path), keep_text)
+    spans, _ = written(repeats(own, length), "removed-spans")
+    return cut(own, spans, in_memory(spans, "spans", 32), keep_text)
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

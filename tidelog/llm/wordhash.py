@@ -10,16 +10,17 @@ hashes.  Texts are hashed in pieces cut at white space, so memory stays near
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of text handed on together by :func:`text_chunks`.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 SHINGLE_WORDS = 5
 
@@ -31,6 +32,33 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns memory that was freed to the system, so that workers kept for later tasks stay small."""
+    _trim()(0)
+    pa.default_memory_pool().release_unused()
+
+
+def tidy(run: Callable[[Iterator], Iterator], every: int = 16) -> Callable[[Iterator], Iterator]:
+    """The same generator of batches, giving memory back now and then and at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, out in enumerate(run(batches), 1):
+            yield out
+            if k % every == 0:
+                give_back()
+        give_back()
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * _M1
