@@ -1,12 +1,17 @@
-"""A pipeline over documents: STAGES in order, each written as Parquet and read by the next."""
+"""A pipeline over documents: STAGES in order, each written as Parquet and read by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before
+kept.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import quality_rules
+from tidelog.llm import bpe, decontaminate, ngram_join, pii, quality_rules
 from tidelog.llm.common import tables, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,9 +22,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by n-gram Jaccard similarity that with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_leaks(docs, tables(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; n_chars tells the new length."""
+    clean = pii.mask(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a document: counts and digests of its ids and of the bytes decoded from them."""
+    return bpe.digests(docs, *bpe.multilingual())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("PII", personal_data),
+    ("byte-level BPE encoding and decoding", tokens),
+]
 
-#: The stages are fitted or iterative; tests hold run() against a brute-force version.
+#: SQL can express neither the fitted stages nor BPE; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
