@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import remove, written
+from tidelog.llm.wordhash import tidy
 
 #: Edges that a task contracts at a time before the first round.
 CONTRACT = 1 << 18
@@ -44,7 +45,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if held:
             yield forest(held)
 
-    return edges.mapInArrow(run, "a bigint, b bigint")
+    return edges.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

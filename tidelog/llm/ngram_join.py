@@ -44,6 +44,8 @@ BROADCAST_BYTES = 16 << 20
 GROUP_TOKENS = 4_000_000
 BLOCK_TOKENS = 1_000_000
 PIVOTS = 32
+#: Low tokens that a task holds before it passes blocks on.
+BLOCK_OF_TOKENS = 300_000
 PIVOT_ROUNDS = 4
 
 DDL = "doc {}, n_shingles bigint, skey bigint, part int, sets int, data binary"
@@ -112,9 +114,9 @@ def signatures(docs: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
                     if len(s) and keys[-1] not in seen:
                         seen.add(keys[-1])
                         ranged = int(np.searchsorted(s, np.uint64(top)))
-                        held.append((keys[-1], len(s), ranged, s[: max(ranged, prefix_length(len(s), percent))]))
+                        held.append((keys[-1], len(s), ranged, s[: max(ranged, prefix_length(len(s), percent))].copy()))
                         n += len(held[-1][3])
-                        if n >= 2_000_000:
+                        if n >= BLOCK_OF_TOKENS:
                             yield blocks(held)
                             held, n = [], 0
                 rows = chunk.num_rows
@@ -122,7 +124,7 @@ def signatures(docs: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
         if held:
             yield blocks(held)
 
-    return docs.select("doc", "text").mapInArrow(run, DDL.format(docs.schema["doc"].dataType.simpleString()))
+    return docs.select("doc", "text").mapInArrow(W.tidy(run), DDL.format(docs.schema["doc"].dataType.simpleString()))
 
 
 def shared_tokens(blocks: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
@@ -175,7 +177,7 @@ def shared_tokens(blocks: DataFrame, bits: int, percent: int = PERCENT) -> DataF
             yield out
 
     parted = blocks.repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part")
-    return parted.mapInArrow(run, "skey bigint, n bigint, ranged bigint, shared bigint, tokens array<bigint>")
+    return parted.mapInArrow(W.tidy(run), "skey bigint, n bigint, ranged bigint, shared bigint, tokens array<bigint>")
 
 
 def group_edges(shared: DataFrame, alive: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -203,7 +205,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, nbytes: int) -> DataFrame:
                 tokens = [s.tobytes() for s in W.shingle_sets(chunk.column("text"))]
                 yield pa.RecordBatch.from_arrays([chunk.column("label"), chunk.column("skey"), pa.array(tokens, pa.binary())], names=["label", "skey", "tokens"])
 
-    return texts.select("text", "label", "skey").mapInArrow(run, "label bigint, skey bigint, tokens binary")
+    return texts.select("text", "label", "skey").mapInArrow(W.tidy(run), "label bigint, skey bigint, tokens binary")
 
 
 def join_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -227,7 +229,7 @@ def join_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield one(keys, tokens)
 
     parted = sets.select("label", "skey", "tokens").repartition(shuffle_partitions(sets.sparkSession), "label").sortWithinPartitions("label")
-    return parted.mapInArrow(run, "skey bigint, root bigint")
+    return parted.mapInArrow(W.tidy(run), "skey bigint, root bigint")
 
 
 def links_with(sets: DataFrame, block: list[tuple[int, bytes, int]], percent: int = PERCENT) -> DataFrame:
@@ -248,7 +250,7 @@ def links_with(sets: DataFrame, block: list[tuple[int, bytes, int]], percent: in
                 b += keys[hit[one]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return sets.select("skey", "tokens").mapInArrow(run, "a bigint, b bigint")
+    return sets.select("skey", "tokens").mapInArrow(W.tidy(run), "a bigint, b bigint")
 
 
 def join_large(sets: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS, rounds: int = PIVOT_ROUNDS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
