@@ -72,10 +72,11 @@ def event_summary(events: DataFrame) -> DataFrame:
 
 def workload_summary(events: DataFrame, txns: DataFrame) -> DataFrame:
     """One row over all events in the window and all transactions; zeros and nulls without any."""
-    counted = txns.agg(F.count("*").alias("total_transactions"), F.coalesce(F.sum("total_rows"), F.lit(0)).alias("total_rows"))
-    told = counted.crossJoin(event_summary(events))  # one row by one row
+    counted = txns.agg(F.count("*").alias("total_transactions"), F.sum("total_rows").alias("total_rows"))
+    both = counted.unionByName(event_summary(events), allowMissingColumns=True)  # two rows
+    told = both.agg(*[F.max(c).alias(c) for c in ("total_transactions", "total_rows", "total_events", "start_time", "end_time")])
     duration = F.coalesce(micros(F.col("end_time")) - micros(F.col("start_time")), F.lit(0)).alias("duration_us")
-    return told.select("total_transactions", "total_rows", "total_events", "start_time", "end_time", duration)
+    return told.select("total_transactions", F.coalesce("total_rows", F.lit(0)).alias("total_rows"), "total_events", "start_time", "end_time", duration)
 
 
 def numbered_minutes(buckets: DataFrame) -> DataFrame:

@@ -55,18 +55,15 @@ def assign_transactions(events: DataFrame, run: int = RUN) -> DataFrame:
     )
     in_order = Window.orderBy("run")  # a row a run, not a row an event
     runs = runs.withColumn("last_before", F.lag("last_kind").over(in_order))
-    first_start = _starts(F.col("first_kind"), F.col("last_before")).cast("bigint")
-    runs = runs.withColumn("starts", F.col("inner_starts") + first_start)
-    runs = runs.withColumn("starts_before", F.coalesce(F.sum("starts").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = marked.join(runs.select("run", "last_before", "starts_before"), "run")
+    runs = runs.withColumn("first_start", _starts(F.col("first_kind"), F.col("last_before")).cast("bigint"))
+    earlier = F.sum(F.col("inner_starts") + F.col("first_start")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("starts_to_first", F.coalesce(earlier, F.lit(0)) + F.col("first_start"))
+    counted = marked.withColumn("inner_so_far", F.sum("inner_start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # A merge join keeps the events where the window over their run has put them.
+    joined = counted.join(runs.select("run", "last_before", "starts_to_first").hint("merge"), "run")
     before = F.when(F.col("place") == 1, F.col("last_before")).otherwise(F.col("before"))
-    start = _starts(F.col("kind"), before).cast("bigint")
-    return (
-        joined.withColumns({"starts_here": start, "orphan": (F.col("kind") == "C") & (F.coalesce(before, F.lit("C")) == "C")})
-        .withColumn("txn_id", F.col("starts_before") + F.sum("starts_here").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(~F.col("orphan"))
-        .select(*[f"`{c}`" for c in events.columns], "kind", "txn_id")
-    )
+    orphan = (F.col("kind") == "C") & (F.coalesce(before, F.lit("C")) == "C")
+    return joined.filter(~orphan).select(*[f"`{c}`" for c in events.columns], "kind", (F.col("starts_to_first") + F.col("inner_so_far")).alias("txn_id"))
 
 
 def txn_key(txn_id: Column) -> Column:
