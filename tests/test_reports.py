@@ -171,3 +171,13 @@ def test_command_line_errors(spark, files, capsys):
     ):
         assert run(spark, *argv) == (1, "")
         assert capsys.readouterr().err == want
+
+
+def test_command_line_failures(spark, tmp_path, capsys):
+    (tmp_path / "log.000001").write_bytes(b"not a log at all")
+    assert run(spark, str(tmp_path / "log.000001")) == (1, "")
+    assert capsys.readouterr().err.startswith("Error: parse error: not a binary log")
+    begins = [r | {"pos": 10 * k} for k, r in enumerate(raw_rows()[:1] * 2)]
+    spark.createDataFrame(begins, RAW_EVENT).coalesce(1).write.parquet(str(tmp_path / "two.parquet"))
+    assert run(spark, str(tmp_path / "two.parquet")) == (1, "")
+    assert capsys.readouterr().err == "Error: analysis consume error: BEGIN received while explicit transaction txn-1 is in-flight\n"

@@ -6,8 +6,11 @@ import argparse
 import sys
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
+from tidelog.operators.transactions import TransactionBoundaryError
 from tidelog.options import AnalysisOptions, SqlContext, parse_duration, parse_time_range
 from tidelog.plans.analyze import analyze_raw
 from tidelog.reports.render import write_json, write_text
@@ -36,6 +39,12 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _gist(why: Exception) -> str:
+    """The innermost message of an error that came through Spark."""
+    told = [line.strip() for line in str(why).splitlines() if "Malformed" in line]
+    return told[-1].partition(": ")[2] if told else str(why).splitlines()[0]
+
+
 def main(argv: Sequence[str] | None = None, spark: Callable[[], SparkSession] = session, out=None) -> int:
     """Time range, SQL mode and files are checked, in this order, before anything runs."""
     asked = parser().parse_args(argv)
@@ -52,11 +61,16 @@ def main(argv: Sequence[str] | None = None, spark: Callable[[], SparkSession] =
             large_txn_rows=asked.large_trx_rows,
             large_txn_duration=parse_duration(asked.large_trx_duration),
         )
-        result = analyze_raw(FileSource(asked.files).load(spark()), options)
         try:
-            (write_json if asked.json else write_text)(result, out, mode)
-        finally:
-            result.release()
+            result = analyze_raw(FileSource(asked.files).load(spark()), options)
+            try:
+                (write_json if asked.json else write_text)(result, out, mode)
+            finally:
+                result.release()
+        except TransactionBoundaryError as why:
+            raise ValueError(f"analysis consume error: {why}") from why
+        except (PySparkException, Py4JError) as why:  # files are read only now
+            raise ValueError(f"parse error: {_gist(why)}") from why
     except (ValueError, FileNotFoundError) as why:
         print(f"Error: {why}", file=sys.stderr)
         return 1
