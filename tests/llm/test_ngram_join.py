@@ -136,14 +136,18 @@ def test_null_and_repeated_ids(spark):
     assert len(kept) == len({c for c in roots(len(rows), similar_pairs([shingles(t) for _, t in rows]))})
 
 
-def test_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("band_tokens", [200, 6000])
+def test_large_groups(spark, monkeypatch, band_tokens):
+    """Groups over the bound are cut into bands, and with the small bound bands are joined by passes."""
     rows = list(enumerate(corpus(22, 200)))
     docs = spark.createDataFrame(rows, "doc long, text string").repartition(5)
-    monkeypatch.setattr(J, "PIVOTS", 3)
-    join_large = J.join_large
-    monkeypatch.setattr(J, "join_large", lambda sets, percent: join_large(sets, percent, pivots=3, rounds=2, block_tokens=1500))
-    got = sorted(map(tuple, J.similar(docs, group_tokens=200).collect()), key=str)
+    join_large, larger, calls = J.join_large, J._larger_than, []
+    monkeypatch.setattr(J, "join_large", lambda sets, percent: calls.append(1) or join_large(sets, percent, pivots=3, rounds=2, block_tokens=1500))
+    bounds = iter([200, band_tokens])
+    monkeypatch.setattr(J, "_larger_than", lambda sets, tokens: larger(sets, next(bounds)))
+    got = sorted(map(tuple, J.similar(docs).collect()), key=str)
     assert got == brute(rows)
+    assert bool(calls) == (band_tokens == 200)
 
 
 def test_query(spark):

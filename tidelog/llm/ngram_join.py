@@ -3,16 +3,20 @@
 Texts are sets of shingle hashes; equal sets are one set from the start.
 
 1. Low tokens.  Of each set go on the tokens in a fixed low share of the hash
-   range, and the prefix, that is the few least, in which similar sets must
-   share one.  A token of that range that no other set holds counts against
-   its set: more of those than a similar set may lack, and the set is alone.
-2. Groups.  The sets left are connected where a prefix token and a size class
-   join them.  Similar sets are always in one group.
+   range, where it is known how many sets hold each.  A token that no other set
+   holds counts against its set: more of those than a similar set may lack, and
+   the set is alone.
+2. Groups.  Tokens are ordered rare first, those out of the range last and by
+   hash.  In this order similar sets share one of their first few, the prefix.
+   Sets are connected where a prefix token and a size class join them, so
+   similar sets are always in one group, and what many sets share joins few.
 3. Join.  Within a group, sets are joined by set-relation skipping
-   (``skip_join``).  A group too large for a task is joined by passes over its
-   sets: blocks of sets at a time are shared out, first a few as pivots, which
-   gather nearly all of a group of copies, then those outside the largest
-   component, block by block, until no pair across components is left.
+   (``skip_join``).  A group too large for a task is cut into bands of two
+   neighbouring size classes, each set being in two.  A band still too large
+   is joined by passes over its sets: blocks of sets at a time are shared out,
+   first a few as pivots, which gather nearly all of a group of copies, then
+   those outside the largest component, block by block, until no pair across
+   components is left.
 
 Null and empty texts have no shingles and are linked with nothing, not with
 one another.  Fewer than five words are one shingle.  Repeated rows are equal
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import wordhash as W
@@ -38,7 +42,7 @@ from tidelog.llm.skip_join import Group, Index, linked
 
 PERCENT = 80
 #: The share of the hash range in which tokens of all sets are looked at.
-RANGE = 0.35
+RANGE = 0.3
 BROADCAST_BYTES = 16 << 20
 #: Tokens of a group that one task joins, and of a block that all tasks get.
 GROUP_TOKENS = 4_000_000
@@ -48,6 +52,9 @@ PIVOTS = 32
 BLOCK_OF_TOKENS = 300_000
 PIVOT_ROUNDS = 4
 
+#: Stands for how many sets hold a token that was not counted.
+OUT_OF_RANGE = (1 << 31) - 1
+
 DDL = "doc {}, n_shingles bigint, skey bigint, part int, sets int, data binary"
 NAMES = ["doc", "n_shingles", "skey", "part", "sets", "data"]
 
@@ -65,8 +72,8 @@ def set_key(s: np.ndarray) -> int:
 
 
 def part_bits(spark: SparkSession) -> int:
-    """Token parts are 2 ** bits, so that each shuffle partition gets about four that hold much."""
-    return max(8, int(12 * shuffle_partitions(spark) - 1).bit_length())
+    """Token parts are 2 ** bits: about one a shuffle partition, as each part costs a set some bytes of its own."""
+    return max(6, int(shuffle_partitions(spark) - 1).bit_length())
 
 
 def signatures(docs: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
@@ -127,8 +134,30 @@ def signatures(docs: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(W.tidy(run), DDL.format(docs.schema["doc"].dataType.simpleString()))
 
 
-def shared_tokens(blocks: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
-    """For each set and part in which it shares tokens: skey, n, ranged, shared (in the range) and its shared prefix tokens."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """The blocks (sets, data) of each part together, from rows sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, n, data in zip(batch.column("part").to_pylist(), batch.column("sets").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append((n, data))
+    if held:
+        yield now, held
+
+
+def _by_part(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part")
+
+
+def shared_tokens(blocks: DataFrame, bits: int, parts: int, percent: int = PERCENT) -> DataFrame:
+    """Blocks by part of the set keys: of each set its key, size, tokens in the range, how many of those here are shared, and how many tokens follow; then the tokens and in how many sets each is.
+
+    Out of the range only tokens that may be in the prefix count, and are said
+    to be in more sets than any other, so they come last and in order of hash.
+    """
 
     def one(part: int, datas: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
         heads, lows = [], []
@@ -138,56 +167,104 @@ def shared_tokens(blocks: DataFrame, bits: int, percent: int = PERCENT) -> DataF
             heads.append(np.column_stack([keys, rest]))
             lows.append(np.frombuffer(data, "<u4", offset=24 * n))
         head, low = np.concatenate(heads), np.concatenate(lows)
-        here = head[:, 4]
-        starts = np.cumsum(here) - here
+        starts = np.cumsum(head[:, 4]) - head[:, 4]
         _, kept = np.unique(head[:, 0], return_index=True)  # equal sets of several tasks
-        head, starts, here = head[kept], starts[kept], here[kept]
+        head, starts = head[kept], starts[kept]
+        here = head[:, 4]
         n = here.sum()
         inner = np.arange(n) - np.repeat(np.cumsum(here) - here, here)
         owner = np.repeat(np.arange(len(head)), here)
         tokens = low[np.repeat(starts, here) + inner]
         order = np.argsort(tokens, kind="stable")
         ranked = tokens[order]
-        same = ranked[1:] == ranked[:-1]
-        multi = np.zeros(n, dtype=bool)
-        multi[order] = np.append(False, same) | np.append(same, False)
-        if not multi.any():
-            return None
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        often = np.empty(n, dtype=np.int64)
+        often[order] = np.diff(np.append(np.flatnonzero(new), n))[np.cumsum(new) - 1]
+        multi = often > 1
         ranged = part < int(RANGE * (1 << bits))
         shared = np.bincount(owner[multi], minlength=len(head)) * ranged
-        first = multi & (head[owner, 3] + inner < prefix_length(head[owner, 1], percent))
+        first = np.flatnonzero(multi if ranged else multi & (head[owner, 3] + inner < prefix_length(head[owner, 1], percent)))
         count = np.bincount(owner[first], minlength=len(head))
         rows = np.flatnonzero((shared > 0) | (count > 0))
-        offsets = np.concatenate([[0], np.cumsum(count[rows])]).astype(np.int32)
-        keys = (np.int64(part) << np.int64(32)) | tokens[first].astype(np.int64)
-        columns = [head[rows, 0], head[rows, 1], head[rows, 2], shared[rows]]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys, pa.int64()))], names=["skey", "n", "ranged", "shared", "tokens"])
+        if not len(rows):
+            return None
+        to = (head[rows, 0].astype(np.uint64) % np.uint64(parts)).astype(np.int64)
+        by_part = np.argsort(to, kind="stable")
+        rows, to = rows[by_part], to[by_part]
+        token_starts = np.cumsum(count) - count
+        counts = count[rows]
+        chosen = first[np.repeat(token_starts[rows] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        keys = (np.int64(part) << np.int64(32)) | tokens[chosen].astype(np.int64)
+        times = np.minimum(often[chosen], OUT_OF_RANGE) if ranged else np.full(len(chosen), OUT_OF_RANGE)
+        entries = np.column_stack([head[rows, 1], head[rows, 2], shared[rows], counts]).astype("<u4")
+        at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        ends = np.append(at[1:], len(to))
+        token_at = np.concatenate([[0], np.cumsum(counts)])
+        data = []
+        for i, j in zip(at.tolist(), ends.tolist(), strict=True):
+            x, y = token_at[i], token_at[j]
+            data.append(head[rows[i:j], 0].astype("<i8").tobytes() + entries[i:j].tobytes() + keys[x:y].astype("<i8").tobytes() + times[x:y].astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(to[at], pa.int32()), pa.array(ends - at, pa.int32()), pa.array(data, pa.binary())], names=["part", "sets", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for part, n, data in zip(batch.column("part").to_pylist(), batch.column("sets").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                if part != now and held:
-                    if (out := one(now, held)) is not None:
-                        yield out
-                    held = []
-                now = part
-                held.append((n, data))
-        if held and (out := one(now, held)) is not None:
-            yield out
+        for part, datas in _grouped(batches):
+            if (out := one(part, datas)) is not None:
+                yield out
 
-    parted = blocks.repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part")
-    return parted.mapInArrow(W.tidy(run), "skey bigint, n bigint, ranged bigint, shared bigint, tokens array<bigint>")
+    return _by_part(blocks).mapInArrow(W.tidy(run), "part int, sets int, data binary")
 
 
-def group_edges(shared: DataFrame, alive: DataFrame, percent: int = PERCENT) -> DataFrame:
+def prefixes(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(skey, n, tokens) of each set that may have a similar one: the tokens of its prefix that other sets hold.
+
+    Of a prefix the tokens that no other set holds come first.
+    """
+
+    def one(datas: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        keys, entries, tokens, times = [], [], [], []
+        for n, data in datas:
+            keys.append(np.frombuffer(data, "<i8", n))
+            entries.append(np.frombuffer(data, "<u4", 4 * n, 8 * n).reshape(n, 4).astype(np.int64))
+            m = int(entries[-1][:, 3].sum())
+            tokens.append(np.frombuffer(data, "<i8", m, 24 * n))
+            times.append(np.frombuffer(data, "<u4", m, 24 * n + 8 * m))
+        entry = np.concatenate(entries)
+        token, time = np.concatenate(tokens), np.concatenate(times)
+        skey, where, group = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        n, ranged = entry[where, 0], entry[where, 1]
+        alone = ranged - np.bincount(group, entry[:, 2], len(skey)).astype(np.int64)
+        most = np.where(100 * alone <= (100 - percent) * n, prefix_length(n, percent) - alone, 0)
+        owner = np.repeat(group, entry[:, 3])
+        order = np.lexsort((token, time, owner))
+        owner, token = owner[order], token[order]
+        held = np.bincount(owner, minlength=len(skey))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(held) - held, held)
+        keep = place < most[owner]
+        left = np.bincount(owner[keep], minlength=len(skey))
+        near = np.flatnonzero(left)
+        offsets = np.concatenate([[0], np.cumsum(left[near])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[keep], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(skey[near], pa.int64()), pa.array(n[near], pa.int64()), lists], names=["skey", "n", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, datas in _grouped(batches):
+            yield one(datas)
+
+    return _by_part(blocks).mapInArrow(W.tidy(run), "skey bigint, n bigint, tokens array<bigint>")
+
+
+def size_class(n: Column, percent: int = PERCENT) -> Column:
+    """Classes of sizes, each up to the ratio that similar sets may have; similar sets are in one or in two neighbours."""
+    return F.floor(F.log(n) / float(np.log(100 / percent)) + 1e-9).cast("int")
+
+
+def group_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) that connect sets which share a prefix token and are of like size.
 
     A set goes to the least set of its token and size class, and that to the
     least of the next class; sizes of similar sets differ by one class at most.
     """
-    size_class = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
-    rows = shared.join(alive, "skey", "left_semi").select("skey", size_class.alias("class"), F.explode("tokens").alias("token"))
+    rows = sets.select("skey", size_class(F.col("n"), percent).alias("class"), F.explode("tokens").alias("token"))
     heads = rows.groupBy("token", "class").agg(F.min("skey").alias("head"), F.count("*").alias("sets"))
     inner = rows.join(heads.filter("sets > 1"), ["token", "class"]).select(F.col("skey").alias("a"), F.col("head").alias("b"))
     upper = heads.select("token", (F.col("class") - 1).alias("class"), F.col("head").alias("b"))
@@ -259,8 +336,8 @@ def join_large(sets: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS, ro
     Every pair across the components found has an end that was compared with
     all sets, as only sets of a group's largest component are left out.
     """
-    sets, _ = written(sets, "large-groups")
-    every = sets.select("label", "skey", (F.length("tokens") / 8).cast("bigint").alias("n"))
+    every, _ = written(sets.select("label", "skey", (F.length("tokens") / 8).cast("bigint").alias("n")), "large-members")
+    sets, _ = written(sets.select("skey", "tokens").dropDuplicates(["skey"]), "large-groups")  # a set may be in two bands
     labels = every.select("label", "skey", "n", F.col("skey").alias("root"))
     links = None
 
@@ -275,7 +352,7 @@ def join_large(sets: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS, ro
         return written(found, "large-labels")[0]
 
     def compared(chosen: DataFrame, links: DataFrame | None) -> DataFrame:
-        rows = sets.join(F.broadcast(chosen.select("skey", "root")), "skey").collect()
+        rows = sets.join(F.broadcast(chosen.select("skey", "root").distinct()), "skey").collect()
         new = links_with(sets, [(r["skey"], bytes(r["tokens"]), r["root"]) for r in rows], percent)
         return written(new if links is None else links.union(new), "large-links")[0]
 
@@ -292,6 +369,30 @@ def join_large(sets: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS, ro
     return (relabelled(links) if blocks else labels).select("skey", "root")
 
 
+def _larger_than(sets: DataFrame, tokens: int) -> DataFrame:
+    """The labels of groups with more tokens than that; a row for each such group."""
+    sizes = sets.groupBy("label").agg(F.sum(F.length("tokens") / 8).alias("tokens"))
+    return written(sizes.filter(F.col("tokens") > tokens).select("label"), "large-group-labels")[0]
+
+
+def join_all(sets: DataFrame, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """(skey, root) of each set of the groups (label, skey, tokens), whatever their sizes."""
+    large = _larger_than(sets, group_tokens)
+    roots = join_groups(sets.join(large, "label", "left_anti"), percent)
+    if large.isEmpty():
+        return roots
+    rest = sets.join(large, "label", "left_semi")
+    own = size_class(F.length("tokens") / 8, percent)
+    bands = rest.select("skey", "tokens", F.explode(F.array(F.xxhash64("label", own), F.xxhash64("label", own - 1))).alias("label"))
+    bands, _ = written(bands, "bands")
+    large = _larger_than(bands, group_tokens)
+    links = join_groups(bands.join(large, "label", "left_anti"), percent)
+    if not large.isEmpty():
+        links = links.union(join_large(bands.join(large, "label", "left_semi"), percent))
+    found = components(links.select(F.col("skey").alias("a"), F.col("root").alias("b")))
+    return roots.union(found.select(F.col("node").alias("skey"), "root"))
+
+
 def similar(docs: DataFrame, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """doc, n_shingles and component, the smallest doc of the component, for a frame of doc and text.
 
@@ -301,23 +402,16 @@ def similar(docs: DataFrame, percent: int = PERCENT, group_tokens: int = GROUP_T
     bits = part_bits(spark)
     signed, _ = written(signatures(docs, bits, percent), "signatures")
     known = signed.filter("skey is not null").select("doc", "n_shingles", "skey")
-    shared, _ = written(shared_tokens(signed.filter("part is not null").select("part", "sets", "data"), bits, percent), "shared-tokens")
-    alive = shared.groupBy("skey").agg(F.first("n").alias("n"), F.first("ranged").alias("ranged"), F.sum("shared").alias("shared"))
-    alive = alive.filter(100 * (F.col("ranged") - F.col("shared")) <= (100 - percent) * F.col("n"))
-    alive, alive_path = written(alive.select("skey", "n"), "alive")
-    few = broadcast_if_small(alive, folder_bytes(spark, alive_path), BROADCAST_BYTES)
-    groups = components(group_edges(shared, few.select("skey"), percent))
+    low = signed.filter("part is not null").select("part", "sets", "data")
+    shared = shared_tokens(low, bits, shuffle_partitions(spark), percent)
+    near, _ = written(prefixes(shared, percent), "prefixes")
+    groups = components(group_edges(near, percent))
     reps, _ = written(known.filter("n_shingles > 0").groupBy("skey").agg(F.min("doc").alias("rep")), "representatives")
     labelled = groups.withColumnsRenamed({"node": "skey", "root": "label"})
     wanted = reps.join(labelled, "skey").select(F.col("rep").alias("doc"), "skey", "label")
     wanted, wanted_path = written(wanted, "group-members")
     sets, _ = written(sets_of(docs, wanted, folder_bytes(spark, wanted_path)), "group-sets")
-    sizes = sets.select("label", "skey", (F.length("tokens") / 8).alias("n")).groupBy("label").agg(F.sum("n").alias("n"))
-    large, _ = written(sizes.filter(F.col("n") > group_tokens).select("label"), "large-group-labels")
-    roots = join_groups(sets.join(large, "label", "left_anti"), percent)
-    if large.limit(1).count():
-        roots = roots.union(join_large(sets.join(large, "label", "left_semi"), percent))
-    roots, _ = written(roots, "roots")
+    roots, _ = written(join_all(sets, percent, group_tokens), "roots")
     placed = reps.join(roots, "skey", "left").withColumn("root", F.coalesce("root", "skey"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
     names, _ = written(placed.join(least, "root").select("skey", "component"), "components")
