@@ -27,45 +27,41 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def _starts(names: tuple[str, ...]) -> Column:
-    first, second = (F.col("event_type").startswith(n) for n in names)
-    return first | second
+def _known() -> Column:
+    """Whether an event is of a kind that the analysis knows."""
+    kind = F.col("event_type")
+    rows = F.lit(False)
+    for first, second in ROW_PREFIXES.values():
+        rows = rows | kind.startswith(first) | kind.startswith(second)
+    return rows | kind.isin(*ROWS_QUERY_TYPES, *XID_TYPES, *TABLE_MAP_TYPES) | (kind.isin(*QUERY_TYPES) & control_word(_text("query")).isin("BEGIN", "COMMIT"))
 
 
 def normalize(raw: DataFrame, halve_update_images: bool = False) -> DataFrame:
-    """Events of the kinds the analysis knows; others are dropped.  Nulls become empty values."""
-    kind, word = F.col("event_type"), control_word(_text("query"))
-    operation = F.lit("")
-    for name, prefixes in ROW_PREFIXES.items():
-        operation = F.when(_starts(prefixes), name).otherwise(operation)
-    event = (
-        F.when(kind.isin(*QUERY_TYPES), F.when(word.isin("BEGIN", "COMMIT"), word))
-        .when(kind.isin(*ROWS_QUERY_TYPES), "ROWS_QUERY")
-        .when(operation != "", "ROWS")
-        .when(kind.isin(*XID_TYPES), "XID")
-        .when(kind.isin(*TABLE_MAP_TYPES), "TABLE_MAP")
-    )
+    """Events of the kinds the analysis knows; others are dropped.  Nulls become empty values.
+
+    Known kinds differ in their first letter, by which they are told from here
+    on: Catalyst copies these expressions into filters, and long ones would
+    make methods too large to be compiled.
+    """
+    letter = F.substring("event_type", 1, 1)
+    is_rows, is_sql = letter.isin("W", "U", "D"), letter == "R"
+    event = F.when(is_rows, "ROWS").when(is_sql, "ROWS_QUERY").when(letter == "X", "XID").when(letter == "T", "TABLE_MAP").otherwise(control_word(_text("query")))
+    operation = F.when(letter == "W", "INSERT").when(letter == "U", "UPDATE").when(letter == "D", "DELETE").otherwise("")
     count = F.coalesce(F.col("row_count"), F.lit(0)).cast("bigint")
-    sql, is_sql = _text("query_sql"), F.col("event") == "ROWS_QUERY"
+    sql = _text("query_sql")
     size = F.octet_length(sql).cast("bigint")
-    placed = F.col("event").isin("ROWS", "TABLE_MAP", "BEGIN", "COMMIT")
-    is_rows = F.col("event") == "ROWS"
-    return (
-        raw.withColumn("event", event)
-        .filter("event is not null")
-        .select(
-            "seq",
-            "ts",
-            F.col("event").alias("event_type"),
-            F.lit("").alias("txn_key"),
-            F.when(placed, _text("schema")).otherwise("").alias("schema"),
-            F.when(is_rows | (F.col("event") == "TABLE_MAP"), _text("table")).otherwise("").alias("table"),
-            F.when(is_rows, operation).otherwise("").alias("operation"),
-            F.when(is_rows, affected_rows(kind, count) if halve_update_images else count).otherwise(0).alias("row_count"),
-            F.when(is_sql, utf8_prefix(sql)).otherwise("").alias("query_sql"),
-            F.when(is_sql, size > MAX_SQL_BYTES).otherwise(False).alias("query_truncated"),
-            F.when(is_sql, size).otherwise(0).cast("bigint").alias("query_original_bytes"),
-        )
+    return raw.filter(_known()).select(
+        "seq",
+        "ts",
+        event.alias("event_type"),
+        F.lit("").alias("txn_key"),
+        F.when(letter.isin("X", "R"), "").otherwise(_text("schema")).alias("schema"),
+        F.when(letter.isin("X", "R", "Q"), "").otherwise(_text("table")).alias("table"),
+        operation.alias("operation"),
+        F.when(is_rows, affected_rows(F.col("event_type"), count) if halve_update_images else count).otherwise(0).alias("row_count"),
+        F.when(is_sql, utf8_prefix(sql)).otherwise("").alias("query_sql"),
+        F.when(is_sql, size > MAX_SQL_BYTES).otherwise(False).alias("query_truncated"),
+        F.when(is_sql, size).otherwise(0).cast("bigint").alias("query_original_bytes"),
     )
 
 

@@ -1,7 +1,7 @@
 """Transactions out of ordered events, without sorting them in one place.
 
 Events are told by kind: B for BEGIN, C for COMMIT and XID, R for ROWS and
-ROWS_QUERY.  A transaction starts at each B, and at an R that follows a C or
+ROWS_QUERY; numbers stand for them, which aggregates hold in place.  A transaction starts at each B, and at an R that follows a C or
 nothing; a C that follows a C or nothing closes nothing.  So each event depends
 on the one before it and on how many starts precede it, and both compose over
 runs of events: a run tells its first and last kind and its starts.  Events
@@ -20,6 +20,8 @@ from tidelog.functions.sql_text import query_summary
 #: Width of a run in seq. Choose it so that a run has some hundred thousand events.
 RUN = 1 << 20
 
+B, C, R = 0, 1, 2
+
 
 class TransactionBoundaryError(ValueError):
     """A BEGIN came while an explicit transaction was open."""
@@ -31,11 +33,11 @@ class TransactionBoundaryError(ValueError):
 
 def _kind() -> Column:
     t = F.col("event_type")
-    return F.when(t == "BEGIN", "B").when(t.isin("COMMIT", "XID"), "C").when(t.isin("ROWS", "ROWS_QUERY"), "R")
+    return F.when(t == "BEGIN", B).when(t.isin("COMMIT", "XID"), C).when(t.isin("ROWS", "ROWS_QUERY"), R)
 
 
 def _starts(kind: Column, before: Column) -> Column:
-    return (kind == "B") | ((kind == "R") & (F.coalesce(before, F.lit("C")) == "C"))
+    return (kind == B) | ((kind == R) & (F.coalesce(before, F.lit(C)) == C))
 
 
 def assign_transactions(events: DataFrame, run: int = RUN) -> DataFrame:
@@ -62,7 +64,7 @@ def assign_transactions(events: DataFrame, run: int = RUN) -> DataFrame:
     # A merge join keeps the events where the window over their run has put them.
     joined = counted.join(runs.select("run", "last_before", "starts_to_first").hint("merge"), "run")
     before = F.when(F.col("place") == 1, F.col("last_before")).otherwise(F.col("before"))
-    orphan = (F.col("kind") == "C") & (F.coalesce(before, F.lit("C")) == "C")
+    orphan = (F.col("kind") == C) & (F.coalesce(before, F.lit(C)) == C)
     return joined.filter(~orphan).select(*[f"`{c}`" for c in events.columns], "kind", (F.col("starts_to_first") + F.col("inner_so_far")).alias("txn_id"))
 
 
@@ -80,7 +82,7 @@ def transactions(assigned: DataFrame) -> DataFrame:
     sql = F.struct("query_sql", "query_truncated", "query_original_bytes")
     told = assigned.groupBy("txn_id").agg(
         F.min_by("kind", "seq").alias("first_kind"),
-        F.bool_or(F.col("kind") == "C").alias("closed"),
+        F.bool_or(F.col("kind") == C).alias("closed"),
         F.min_by("ts", "seq").alias("start_time"),
         F.max_by("ts", "seq").alias("last_time"),
         F.max_by(F.when(is_rows, F.col("ts")), F.when(is_rows, F.col("seq"))).alias("last_rows_time"),
@@ -88,7 +90,7 @@ def transactions(assigned: DataFrame) -> DataFrame:
         F.count_if(is_rows).alias("event_count"),
         F.max_by(F.when(is_sql, sql), F.when(is_sql, F.col("seq"))).alias("sql"),
     )
-    explicit = F.col("first_kind") == "B"
+    explicit = F.col("first_kind") == B
     end = F.when(explicit & F.col("closed"), F.col("last_time")).otherwise(F.coalesce("last_rows_time", "start_time"))
     text = F.coalesce(F.col("sql.query_sql"), F.lit(""))
     return told.withColumn("end_time", end).select(
