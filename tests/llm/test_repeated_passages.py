@@ -129,6 +129,42 @@ def test_hot_triggers_are_split_by_window(spark, monkeypatch):
     assert sorted(rows_of(R.cut(own, spans, 1))) == sorted(brute(rows, 100))
 
 
+def test_equal_windows_meet_in_a_part_that_comes_in_pieces(spark, monkeypatch):
+    """Pieces of a part differ in their count of a trigger's phrases, each above 2 * SPLIT."""
+    rng = random.Random(5)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    grams = [noise(R.GRAM) for _ in range(20_000)]
+    raw = np.frombuffer("".join(grams).encode(), np.uint8)
+    at = np.arange(len(grams)) * R.GRAM
+    core = grams[int(np.argmin(R._substrings(R._sums(raw), at, at + R.GRAM)))]
+    shared = [noise(45) + core + noise(45) for _ in range(5)]
+    rows = [(k, noise(80) + (rng.choice(shared) if k % 3 == 0 else noise(45) + core + noise(45)) + noise(80)) for k in range(420)]
+    parts, counts = 4, []
+    monkeypatch.setattr(R, "COMBINE", 16)
+    monkeypatch.setattr(R, "SPLIT", 4)
+    monkeypatch.setattr(R, "PIECE", 6000)
+    each = R._each_part
+
+    def told(blocks):
+        for _, (trigger, *_), split in each(iter(blocks), R._PHRASE, 8 * R.COMBINE):
+            if split:
+                counts.append(int(np.bincount(np.unique(trigger, return_inverse=True)[1]).max()))
+
+    own = R.numbered(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    blocks = R.parse(own, parts).cache()
+    told(blocks.filter("data is not null").sort("part").toArrow().to_batches())
+    assert len({c // R.SPLIT for c in counts if c > 2 * R.SPLIT}) > 1
+    found = R.dictionary(blocks, parts).cache()
+    todo = found.filter("triggers is not null").groupBy("doc").agg(R.F.collect_list(R.F.struct("a", "b", "triggers", "strings")).alias("phrases"))
+    seen = R.windows(own.join(todo, "doc").select("doc", "text", "phrases"), parts)
+    gone = found.unionByName(R.ordered(seen)).filter("triggers is null")
+    spans = gone.groupBy("doc").agg(R.F.collect_list(R.F.struct("a", "b")).alias("spans"))
+    assert sorted(rows_of(R.cut(own, spans, 1))) == sorted(brute(rows, 100))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())

@@ -284,7 +284,9 @@ def dictionary(blocks: DataFrame, parts: int, length: int = LENGTH) -> DataFrame
     """Rows of bytes known to go, and phrases still to compare: doc, first window a, windows b, their trigger and how many phrases share it.
 
     Part by part, equal phrases are put together.  A part too large for memory
-    passes all its phrases on, to be compared window by window.
+    comes in pieces, none of which knows how many phrases share a trigger: it
+    passes all its phrases on, to be compared window by window, with one count
+    for them all, as windows() finds equal windows by trigger and count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +307,7 @@ def dictionary(blocks: DataFrame, parts: int, length: int = LENGTH) -> DataFrame
             go_on = np.flatnonzero((strings > 1) | again[stay] | split)
             if len(go_on):
                 stay = stay[go_on]
-                yield _batch(doc=doc[stay], a=start[stay].astype(np.int64), b=count[stay], triggers=trigger[stay].astype(np.int64) * parts + part, strings=np.maximum(strings[go_on], SPLIT + 1 if split else 0))
+                yield _batch(doc=doc[stay], a=start[stay].astype(np.int64), b=count[stay], triggers=trigger[stay].astype(np.int64) * parts + part, strings=np.full(len(stay), SPLIT * parts) if split else strings[go_on])
 
         while passed:
             yield passed.pop()
