@@ -71,6 +71,38 @@ def test_junk_and_cuts(pack):
     assert sum(g.end - g.start for g in gaps) == len(raw) - sum(len(parts[k]) for k in (0, 1, 3, 4))
 
 
+def test_a_long_damaged_start_costs_only_itself(monkeypatch):
+    monkeypatch.setattr(W, "READ", 64)
+    rows = pages(40)
+    parts = [W.packed(W.record(*r)) for r in rows]
+    lost = next(k for k in range(40) if sum(map(len, parts[:k])) > 20 * W.READ)
+    size = sum(map(len, parts[:lost]))
+    got, gaps = read_all(bytes(size) + b"".join(parts[lost:]))
+    assert [i for i, _, _, _ in got] == list(range(lost, 40))
+    assert [(g.start, g.end) for g in gaps] == [(0, size)]
+
+
+@pytest.mark.parametrize("step", [64, 1 << 18])
+def test_a_packed_body_in_a_damaged_record_does_not_hide_the_rest(step, monkeypatch):
+    monkeypatch.setattr(W, "READ", step)
+    rows = [(0, "u", W.packed(b"a body" * 50)), *pages(6)[1:]]
+    parts = [W.record(*r) for r in rows]
+    raw = bytearray(b"".join(parts))
+    raw[0] ^= 1
+    got, gaps = read_all(raw)
+    assert [(i, p) for i, p, _, _ in got] == [(i, p) for i, _, p in rows[1:]]
+    assert [(g.start, g.end) for g in gaps] == [(0, len(parts[0]))]
+
+
+def test_packed_and_plain_records_in_one_archive():
+    rows = pages(8)
+    parts = [(W.packed if k % 2 else bytes)(W.record(*r)) for k, r in enumerate(rows)]
+    raw = bytearray(b"".join(parts))
+    raw[len(parts[0])] ^= 1
+    got, gaps = read_all(raw)
+    assert [i for i, _, _, _ in got] == [0, *range(2, 8)] and len(gaps) == 1
+
+
 def test_a_wrong_digest_is_caught():
     raw = W.record(1, "u", b"payload").replace(b"payload", b"paYload")
     got, gaps = read_all(W.packed(raw) + W.packed(W.record(2, "u", b"x")))

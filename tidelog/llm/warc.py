@@ -6,8 +6,11 @@ members of their own, in archives of bounded size.
 
 The reader checks each record: the member's checksum, the version line, the
 header, the length, the end and the payload's digest.  After a failed check it
-searches for the next gzip member that begins a record, or in a plain archive
-for the next version line, goes on from there, and logs the bytes passed over.
+searches, to the end of the archive if need be, for the next gzip member that
+begins a record or the next version line, whichever comes first, goes on from
+there, and logs the bytes passed over.  Whether a record is packed is told at
+its place, so what is damaged elsewhere has no say in it.  A record that is
+quoted whole within a damaged one counts as a record.
 
 Null html counts as empty.  Rows tied for the largest page_id are all
 responses; a null page_id is below all others, and if a payload has no other
@@ -46,7 +49,7 @@ MAX_RECORD = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
-_LINE = re.compile(rb"WARC/1\.\d+\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.\d+\r\n")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -166,31 +169,17 @@ class Salvage:
         self.base += n
 
     def __iter__(self) -> Iterator[Record]:
-        while len(self.buffer) < len(MEMBER) and self._more():
-            pass
-        packed = self._packed_archive()
         while self.buffer or self._more():
+            while len(self.buffer) < len(MEMBER) and self._more():
+                pass
             try:
-                used, headers, payload = self._member() if packed else self._plain()
+                used, headers, payload = self._member() if self.buffer.startswith(MEMBER) else self._plain()
             except Broken as why:
-                self._resume(packed, str(why))
+                self._resume(str(why))
                 continue
             yield Record(self.base, used, headers, payload)
             self._drop(used)
 
-    def _packed_archive(self) -> bool:
-        """Whether it holds gzip members: by its first bytes, or else by which kind of start comes first."""
-        if self.buffer.startswith(MEMBER):
-            return True
-        if self.buffer.startswith(b"WARC/"):
-            return False
-        while True:
-            member, line = self.buffer.find(MEMBER), _LINE.search(self.buffer)
-            if member >= 0 or line:
-                return member >= 0 and (not line or member < line.start())
-            if len(self.buffer) > 16 * READ or not self._more():
-                return False
-
     def _unpacked(self, at: int, most: int | None = None) -> tuple[bytes, int]:
         """The member at a place in the buffer, or its first bytes, and where it ends in the buffer."""
         unzip, out, size = zlib.decompressobj(31), [], 0
@@ -215,10 +204,6 @@ class Salvage:
         return b"".join(out), at - len(unzip.unused_data)
 
     def _member(self) -> tuple[int, dict[str, str], bytes]:
-        if len(self.buffer) < len(MEMBER):
-            self._more()
-        if not self.buffer.startswith(MEMBER):
-            raise Broken("no member")
         raw, end = self._unpacked(0)
         try:
             headers, payload, used = parse(raw)
@@ -241,27 +226,26 @@ class Salvage:
                 if len(self.buffer) == have:
                     raise Broken("cut short") from why
 
-    def _resume(self, packed: bool, reason: str) -> None:
-        """Moves to the next place that begins a record, and logs the gap."""
-        start, at = self.base, 1
+    def _begins_record(self, at: int) -> bool:
+        """Whether what was found at a place in the buffer is a version line, or a member that begins with one."""
+        if not self.buffer.startswith(MEMBER, at):
+            return True
+        try:
+            return self._unpacked(at, 5)[0][:5] == b"WARC/"
+        except Broken:
+            return False
+
+    def _resume(self, reason: str) -> None:
+        """Moves to the next place that begins a record, packed or plain, and logs the gap."""
+        start, at, keep = self.base, 1, 16
         while True:
-            if packed:
-                at = self.buffer.find(MEMBER, at)
-                if at >= 0:
-                    try:
-                        if self._unpacked(at, 5)[0][:5] == b"WARC/":
-                            break
-                    except Broken:
-                        pass
-                    at += 1
-                    continue
-                keep = len(MEMBER) - 1
-            else:
-                found = _LINE.search(self.buffer, at)
-                if found:
-                    at = found.start()
+            found = _START.search(self.buffer, at)
+            if found:
+                at = found.start()
+                if self._begins_record(at):
                     break
-                keep = 16
+                at += 1
+                continue
             drop = max(0, len(self.buffer) - keep)
             self._drop(drop)
             at = 0 if drop else 1
