@@ -1,4 +1,4 @@
-"""Exact removal of repeated 100-byte strings by prefix-free parsing.
+"""Removal of repeated 100-byte strings by the phrases of a prefix-free parsing.
 
 A byte goes if a ``LENGTH``-byte string of its document that covers it also
 starts earlier: in a document of a smaller id, or earlier in its own.
@@ -15,8 +15,9 @@ earlier elsewhere.  A trigger with one phrase in the dictionary is done, which
 is most of any text that is not repeated.
 
 Order.  The windows of the remaining dictionary phrases, that is their
-suffixes up to LENGTH bytes, are sorted by content and then by corpus place,
-and all but the first of each run of equals start earlier elsewhere.
+suffixes cut to LENGTH bytes, are sorted by fingerprint and then by corpus
+place, and all but the first of each run of equals start earlier elsewhere.
+There is no suffix array of dictionary or parse, and the parse is not kept.
 
 Each step first combines within its task, so a passage that a third of the
 corpus shares sends a row a task and not a row an occurrence.  A trigger with
@@ -372,7 +373,7 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
 
 
 def ordered(blocks: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows of bytes known to go: all but the first of equal windows, by content and corpus order."""
+    """Rows of bytes known to go: all but the first of equal windows, by fingerprint and corpus order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
