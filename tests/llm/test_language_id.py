@@ -93,6 +93,21 @@ def test_rows(spark):
     assert L.identify(empty.select("doc_id", "text"), model).count() == 0
 
 
+def test_every_language_is_learned_with_its_own_room(spark):
+    rng = random.Random(3)
+    own = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(6)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(own[k], k=20)), k) for k in own for i in range(6 if k < "l064" else 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_on(docs, "text", "lang", F.xxhash64("doc_id", "lang"))
+    assert sorted(k for m in [model, *model.rest] for k in m.languages) == sorted(own)
+    texts = {k: " ".join(rng.choices(w, k=20)) for k, w in own.items()}
+    assert L.predict(model, pa.array(list(texts.values())))[0] == list(texts)
+    samples = {k: [" ".join(rng.choices(w, k=200)).encode()] for k, w in own.items()}
+    some = dict(list(samples.items())[:4])
+    least = min(m.bits.size // len(m.languages) // m.width for m in [L.fit(samples, table_bytes=30_000), *L.fit(samples, table_bytes=30_000).rest])
+    assert least >= 0.8 * (L.fit(some, table_bytes=30_000).bits.size // 4 // L.fit(some, table_bytes=30_000).width)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", F.length("text").alias("n"))

@@ -3,7 +3,9 @@
 Each language has a tree of byte contexts up to ``ORDER`` deep, with escape
 probabilities (method C, with exclusion of what the longer context has seen).
 The trees are frozen after fitting, so a text's code length under a language
-is a sum of table entries; the least code length wins.
+is a sum of table entries; the least code length wins.  Languages are fitted
+in blocks, those with samples of like size together, so that however many
+there are, the trees of a block have the same room.
 
 Texts that are null or have no letter get ``und`` and score 0; so does every
 text if there is nothing to learn from.  Texts are scored whole, in pieces
@@ -15,7 +17,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,10 @@ from tidelog.llm import wordhash as W
 from tidelog.llm.common import map_batches, tables
 
 ORDER = 3
-#: The bounds of the fit: labelled rows a language, bytes a row, languages, and context states in all.
+#: The bounds of the fit: labelled rows a language, bytes a row, languages a block, and context states of a block.
 SAMPLE_ROWS = 400
 SAMPLE_ROW_BYTES = 32_768
-MAX_LANGUAGES = 64
+BLOCK = 4
 TABLE_BYTES = 8 << 20
 
 UNKNOWN = "und"
@@ -41,6 +43,7 @@ class Model:
     """classes: of each byte, 0 for those never learned. states: of each run of ORDER classes, oldest first.
 
     bits[l]: code length of class c after state s, at s * width + c, for language l.
+    rest: the models of further blocks of languages.
     """
 
     languages: list[str]
@@ -48,6 +51,7 @@ class Model:
     width: int
     states: np.ndarray
     bits: np.ndarray
+    rest: list[Model] = field(default_factory=list)
 
 
 def _contexts(symbols: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -93,10 +97,16 @@ def _tree_tables(counts: list[dict[int, np.ndarray]], kept: list[np.ndarray], wi
 
 
 def fit(samples: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TABLE_BYTES) -> Model | None:
-    """The frozen trees of some texts by language; None if there are none."""
-    languages = sorted(k for k, v in samples.items() if any(v))
+    """The frozen trees of some texts by language, with ``table_bytes`` for each block of languages; None if there are none."""
+    languages = sorted((k for k, v in samples.items() if any(v)), key=lambda k: (-sum(map(len, samples[k])), k))
     if not languages:
         return None
+    first, *rest = (_fit_block(sorted(languages[a : a + BLOCK]), samples, order, table_bytes) for a in range(0, len(languages), BLOCK))
+    first.rest = rest
+    return first
+
+
+def _fit_block(languages: list[str], samples: dict[str, list[bytes]], order: int, table_bytes: int) -> Model:
     raws = {k: np.frombuffer(b"".join(samples[k]), dtype=np.uint8) for k in languages}
     seen = np.unique(np.concatenate([np.unique(r) for r in raws.values()]))
     classes = np.zeros(256, dtype=np.int64)
@@ -168,10 +178,14 @@ def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarra
     """The language of least code length and its posterior, all languages alike before; ties go to the first by name."""
     if model is None:
         return [UNKNOWN] * len(column), np.zeros(len(column))
-    bits = code_lengths(model, *W.utf8_buffer(column))
+    blocks = [model, *model.rest]
+    named = [k for m in blocks for k in m.languages]
+    by_name = sorted(range(len(named)), key=named.__getitem__)
+    raw, offsets = W.utf8_buffer(column)
+    bits = np.concatenate([code_lengths(m, raw, offsets) for m in blocks])[by_name]
     best = bits.argmin(axis=0)
     odds = np.exp2(np.maximum(bits.min(axis=0) - bits, -1000))
-    return [model.languages[k] for k in best.tolist()], 1 / odds.sum(axis=0)
+    return [named[by_name[k]] for k in best.tolist()], 1 / odds.sum(axis=0)
 
 
 def fit_on(docs: DataFrame, text: str, language: str, order: Column, rows: int = SAMPLE_ROWS, row_bytes: int = SAMPLE_ROW_BYTES) -> Model | None:
@@ -182,12 +196,10 @@ def fit_on(docs: DataFrame, text: str, language: str, order: Column, rows: int =
     """
     share = F.pmod(order, F.lit(1 << 30)) / (1 << 30)
     pool = docs.filter(F.col(language).isNotNull() & order.isNotNull())
-    found = pool.groupBy(F.col(language).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    found = pool.groupBy(F.col(language).alias("l")).count().collect()
     if not found:
         return None
-    bound = F.lit(0.0)
-    for r in found:
-        bound = F.when(F.col(language) == r["l"], 2.0 * rows / r["count"]).otherwise(bound)
+    bound = F.create_map(*(F.lit(x) for r in found for x in (r["l"], 2.0 * rows / r["count"])))[F.col(language)]
     near = pool.filter(share < bound).filter(F.octet_length(F.col(text)).between(1, row_bytes))
     head = near.select(F.col(language).alias("l"), F.col(text).alias("t"), share.alias("s")).orderBy("s").limit(4 * rows * len(found)).collect()
     samples: dict[str, list[bytes]] = {}
