@@ -14,17 +14,27 @@ in corpus order stays in the dictionary; the windows of all others start
 earlier elsewhere.  A trigger with one phrase in the dictionary is done, which
 is most of any text that is not repeated.
 
-Order.  The windows of the remaining dictionary phrases, that is their
-suffixes cut to LENGTH bytes, are sorted by fingerprint and then by corpus
-place, and all but the first of each run of equals start earlier elsewhere.
-There is no suffix array of dictionary or parse, and the parse is not kept.
+Suffix array.  The remaining phrases go as strings to the part of their
+trigger, in corpus order, and there the suffixes of that part of the
+dictionary are ranked by content, by prefix doubling, to a depth of exactly
+LENGTH bytes.  Suffixes of one rank are equal windows.
+
+Parse and corpus order.  The parse, a document's phrases in a row, is kept as
+each dictionary phrase's first place.  Where phrases meet in a trigger only, a
+suffix goes on into the phrases after its own, and the parse needs a suffix
+array to rank those; phrases that overlap by LENGTH - 1 bytes hold every window
+whole, so that array would decide nothing and is not built.  Combined with the
+places, all but the first of each rank start earlier elsewhere.
 
 Each step first combines within its task, so a passage that a third of the
 corpus shares sends a row a task and not a row an occurrence.  A trigger with
-very many phrases is split over tasks by window.
+very many phrases is split over tasks by window: its windows go as strings of
+their own, dealt by their content.  What is gathered in one row, phrases and
+spans, is of one document, whose text is in the row as well.
 
-Strings are compared by 64-bit fingerprints within one trigger.  Null texts
-count as empty; texts shorter than LENGTH bytes keep all they have.  Ids that
+Windows are compared byte by byte.  That two phrases of one trigger are equal
+is told by fingerprints modulo a prime, to two bases, of 62 bits together.
+Null texts count as empty; texts shorter than LENGTH bytes keep all they have.  Ids that
 are null or occur twice are told apart by rows: null ids come first, rows of
 one id follow in the order in which they are numbered.  An empty table gives
 no rows; other columns are ignored.  A long text is hashed piece by piece.
@@ -50,26 +60,66 @@ GRAM = 32
 PIECE = 1 << 18
 #: Phrases or windows that a task combines at a time before it passes them on.
 COMBINE = 1 << 18
-#: Phrases of one trigger that one task compares window by window; more are split by window.
+#: Phrases of one trigger that one task compares; of a trigger with more the windows are dealt out.
 SPLIT = 20_000
+#: Phrases of a text taken out of it at a time.
+STRINGS = 1 << 12
 #: A table is broadcast if it takes at most so many bytes in memory.
 BROADCAST_BYTES = 12 << 20
 #: Set in a phrase's count of windows if it may hold two that are equal.
 AGAIN = 1 << 31
 
-_BASE = W._BASE
-_BASE_INVERSE = W._BASE_INVERSE
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (0x2545F491, 0x5851F42D)
+_ROLL = 0x9E3779B97F4A7C15
+_grown: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _powers(base: int, n: int, prime: int = 0) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo prime or else 2 ** 64; grown by doubling and kept."""
+    have = _grown.get((base, prime), np.ones(1, dtype=np.uint64))
+    while len(have) < n:
+        more = have * np.uint64(pow(base, len(have), prime or 1 << 64))
+        have = np.concatenate([have, _reduced(more) if prime else more])
+    _grown[base, prime] = have
+    return have[:n]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or some primes more."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(_folded(x)))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+_byte_values = W.mix(np.arange(1, 257, dtype=np.uint64) * W._STEP)
+_byte_residues = _byte_values % (_PRIME - np.uint64(1)) + np.uint64(1)
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
-    """Running sums of byte values times powers: a fingerprint of any substring in two look-ups."""
+    """Running sums of byte values times powers: a rolling hash of any substring in two look-ups."""
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(W._byte_values(False, b"")[raw] * W.powers(_BASE, len(raw)), out=total[1:])
+    np.cumsum(_byte_values[raw] * _powers(_ROLL, len(raw)), out=total[1:])
     return total
 
 
 def _substrings(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return W.mix((total[ends] - total[starts]) * W.powers(_BASE_INVERSE, len(total))[starts])
+    """Rolling hashes, modulo 2 ** 64: good to deal by and to choose triggers by, not to tell strings apart."""
+    return W.mix((total[ends] - total[starts]) * _powers(pow(_ROLL, -1, 1 << 64), len(total))[starts])
+
+
+def _fingerprints(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of substrings: polynomials modulo the prime to two bases, side by side.  raw: at most some 2 ** 32 bytes."""
+    out, prime = np.zeros(len(starts), dtype=np.uint64), int(_PRIME)
+    for base in _BASES:
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_folded(_byte_residues[raw] * _powers(base, len(raw), prime)), out=total[1:])
+        own = _reduced(total[ends] - total[starts]) * _powers(pow(base, -1, prime), len(total), prime)[starts]
+        out = (out << np.uint64(31)) | _reduced(own)
+    return out
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -93,13 +143,13 @@ def phrases(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
         piece = raw[a : a + PIECE + length - 1]
         total = _sums(piece)
         at = np.arange(len(piece) - gram + 1)
-        out.append(_runs(_substrings(total, at, at + gram), total, np.zeros(0, np.int64), length, gram, a))
+        out.append(_runs(_substrings(total, at, at + gram), piece, np.zeros(0, np.int64), length, gram, a))
     if not out:
         return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _runs(grams: np.ndarray, total: np.ndarray, edges: np.ndarray, length: int, gram: int, shift: int) -> tuple[np.ndarray, ...]:
+def _runs(grams: np.ndarray, raw: np.ndarray, edges: np.ndarray, length: int, gram: int, shift: int) -> tuple[np.ndarray, ...]:
     """Phrases of a text's gram hashes; no phrase goes over an edge.
 
     The count of a phrase whose trigger occurs in it more than once, as it
@@ -122,7 +172,7 @@ def _runs(grams: np.ndarray, total: np.ndarray, edges: np.ndarray, length: int,
     whole = np.zeros(n + 1, dtype=np.int64)
     np.cumsum(both, out=whole[1:])
     occurs -= np.where(count >= span, whole[at + count] - whole[np.minimum(at + span - 1, n)], 0)
-    return trigger[at], at + shift, np.where(occurs > 1, count | AGAIN, count), _substrings(total, at, at + count + length - 1)
+    return trigger[at], at + shift, np.where(occurs > 1, count | AGAIN, count), _fingerprints(raw, at, at + count + length - 1)
 
 
 def batch_phrases(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +192,7 @@ def batch_phrases(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gr
     whole = row[: len(raw) - length + 1] == row[length - 1 :]
     marked = np.flatnonzero(np.diff(whole.astype(np.int8), prepend=0, append=0))  # starts and ends of runs of whole windows
     edges = np.unique(np.concatenate([marked, offsets[:-1]]))
-    t, s, n, f = _runs(_substrings(total, at, at + gram), total, edges[edges < len(whole)], length, gram, 0)
+    t, s, n, f = _runs(_substrings(total, at, at + gram), raw, edges[edges < len(whole)], length, gram, 0)
     keep = whole[s]
     t, s, n, f = t[keep], s[keep], n[keep], f[keep]
     return row[s], t, s - offsets[row[s]], n, f
@@ -316,42 +366,123 @@ def dictionary(blocks: DataFrame, parts: int, length: int = LENGTH) -> DataFrame
     return blocks.repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part").mapInArrow(W.tidy(run), BLOCK_DDL)
 
 
-_WINDOWS = ["<u8", "<i8", "<u4"]  # fingerprint, document, place
+_STRINGS = ["<i8", "<u4", "<u4"]  # document, first window, windows; then the strings' bytes
+
+
+def _strings(doc: np.ndarray, place: np.ndarray, windows: np.ndarray, raw: bytes) -> bytes:
+    return _pack([(doc, "<i8"), (place, "<u4"), (windows, "<u4")]) + raw
+
+
+def _in_corpus_order(blocks: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, windows) of the strings of some blocks, by corpus place, and their bytes in that order."""
+    heads = [_unpack(data, n, _STRINGS) for n, data in blocks]
+    doc, place, windows = (np.concatenate(c) for c in zip(*heads, strict=True))
+    raw = np.concatenate([np.frombuffer(data, np.uint8, offset=16 * n) for n, data in blocks])
+    size = windows.astype(np.int64) + length - 1
+    at = np.cumsum(size) - size
+    order = np.lexsort((place, doc))
+    size = size[order]
+    raw = raw[np.repeat(at[order] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    return doc[order], place[order], windows[order].astype(np.int64), raw
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(key)
+    ranked = key[order]
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))
+    return rank
+
+
+def suffix_ranks(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The rank of every suffix of at least ``length`` bytes by its first ``length`` bytes, by prefix doubling."""
+    depth = min(8, length)
+    n = len(raw) - depth + 1
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(depth):
+        key = (key << np.uint64(8)) | raw[k : k + n]
+    rank = _dense(key)
+    while depth < length:
+        step = min(depth, length - depth)
+        n = len(rank) - step
+        rank = _dense(rank[:n] * (int(rank.max()) + 1) + rank[step:])
+        depth += step
+    return rank
+
+
+def _again(raw: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """For the windows of strings laid one after another, whether an equal one came before."""
+    if not len(windows):
+        return np.zeros(0, bool)
+    size = windows + length - 1
+    at = np.repeat(np.cumsum(size) - size - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+    rank = suffix_ranks(raw, length)[at]
+    first, own = np.empty(int(rank.max()) + 1, dtype=np.int64), np.arange(len(rank))
+    first[rank[::-1]] = own[::-1]
+    return first[rank] != own
 
 
 def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
-    """Blocks of the windows of dictionary phrases, and rows of bytes known to go.
+    """Blocks of the dictionary phrases as strings, and rows of bytes known to go.
 
-    todo: doc, text and phrases, an array of (a, b, triggers, strings).  Of
-    equal windows within a task only the first goes on.
+    todo: doc, text and phrases, an array of (a, b, triggers, strings).  A
+    phrase of a trigger that has too many goes as its windows, but for those
+    equal to an earlier one within the task.
     """
 
-    def combined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        part, mark, doc, place = (np.concatenate(c) for c in zip(*held, strict=True))
-        order, first = _first_of_each([mark], doc, place)
-        gone, stay = order[~first], np.sort(order[first])
-        if len(gone):
-            yield _covered(doc[gone], place[gone], np.ones(len(gone), np.int64), length, parts)
-        yield _blocks_by_part(part[stay], [(mark[stay], "<u8"), (doc[stay], "<i8"), (place[stay], "<u4")])
-
-    def of_text(raw: np.ndarray, doc: int, a: np.ndarray, b: np.ndarray, trigger: np.ndarray, strings: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        order = np.argsort(a, kind="stable")
-        a, b, trigger, strings = a[order], b[order], trigger[order], strings[order]
-        at = 0
-        while at < len(a):  # the phrases of a piece of the text at a time
-            end = max(at + 1, int(np.searchsorted(a, a[at] + PIECE)))
-            low, high = int(a[at]), int((a[at:end] + b[at:end]).max()) + length - 1
-            total = _sums(raw[low:high])
-            n = b[at:end]
-            place = np.repeat(a[at:end] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            mark = _substrings(total, place - low, place - low + length)
-            pieces = np.repeat(strings[at:end] // SPLIT + 1, n).astype(np.uint64)
-            salted = W.mix(np.repeat(trigger[at:end], n).astype(np.uint64) + (mark >> np.uint64(20)) % pieces * np.uint64(0x9E3779B97F4A7C15))
-            yield (salted % np.uint64(parts)).astype(np.int64), mark, np.full(len(mark), doc), place
-            at = end
+    def blocks(part: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+        size = count.astype(np.int64) + length - 1
+        at = np.cumsum(size) - size
+        order = np.argsort(part, kind="stable")
+        ranked = part[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        ends = np.append(first[1:], len(ranked))
+        doc, place, count, size = doc[order], place[order], count[order], size[order]
+        raw = raw[np.repeat(at[order] - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        data = [_strings(doc[i:j], place[i:j], count[i:j], raw[bounds[i] : bounds[j]]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+        return _batch(part=ranked[first], n=ends - first, data=data)
+
+    def dealt(key: np.ndarray, piece: np.ndarray | int) -> np.ndarray:
+        salted = W.mix(key.astype(np.uint64) + np.asarray(piece, np.uint64) * np.uint64(_ROLL))
+        return (salted % np.uint64(parts)).astype(np.int64)
+
+    def whole(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, place, count, trigger, _ = (np.concatenate([h[k] for h in held]) for k in range(5))
+        yield blocks(dealt(trigger, 0), doc, place, count, np.concatenate([h[5] for h in held]))
+
+    def apart(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, place, count, trigger, strings = (np.concatenate([h[k] for h in held]) for k in range(5))
+        raw = np.concatenate([h[5] for h in held])
+        order = np.lexsort((place, doc))
+        size = count + length - 1
+        at = np.cumsum(size) - size
+        raw = raw[np.repeat(at[order] - np.cumsum(size[order]) + size[order], size[order]) + np.arange(size.sum())]
+        doc, place, count, trigger, strings, size = (c[order] for c in (doc, place, count, trigger, strings, size))
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(np.cumsum(size) - size, count) + inner
+        doc, place, trigger, pieces = np.repeat(doc, count), np.repeat(place, count) + inner, np.repeat(trigger, count), np.repeat(strings // SPLIT + 1, count)
+        gone = _again(raw, count, length)
+        one = np.ones(len(doc), np.int64)
+        if gone.any():
+            yield _covered(doc[gone], place[gone], one[gone], length, parts)
+        stay = np.flatnonzero(~gone)
+        total = _sums(raw)
+        for k in range(0, len(stay), COMBINE // 4):
+            own = stay[k : k + COMBINE // 4]
+            mark = _substrings(total, start[own], start[own] + length)
+            views = np.lib.stride_tricks.sliding_window_view(raw, length)
+            yield blocks(dealt(trigger[own], (mark >> np.uint64(20)) % pieces[own].astype(np.uint64)), doc[own], place[own], one[own], views[start[own]].ravel())
+
+    def of_text(raw: np.ndarray, doc: int, a: np.ndarray, b: np.ndarray, trigger: np.ndarray, strings: np.ndarray) -> tuple:
+        size = b + length - 1
+        return np.full(len(a), doc), a, b, trigger, strings, raw[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: dict[bool, list[tuple]] = {True: [], False: []}
+        n = {True: 0, False: 0}
+        passed_on = {True: apart, False: whole}
         for batch in batches:
             for chunk in W.text_chunks(batch, "text", PIECE):
                 raw, offsets = W.utf8_buffer(chunk.column("text"))
@@ -360,30 +491,49 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
                 columns = [inner.field(k).to_numpy() for k in range(4)]
                 for r, doc in enumerate(chunk.column("doc").to_pylist()):
                     own = [c[bounds[r] : bounds[r + 1]] for c in columns]
-                    for found in of_text(raw[offsets[r] : offsets[r + 1]], doc, *own):
-                        held.append(found)
-                        n += len(found[1])
-                        if n >= COMBINE:
-                            yield from combined(held)
-                            held, n = [], 0
-        if n:
-            yield from combined(held)
+                    many = own[3] >= SPLIT
+                    for split in (False, True):
+                        a, b, trigger, strings = (c[many == split] for c in own)
+                        for k in range(0, len(a), STRINGS):  # a long text's, some at a time
+                            piece = slice(k, k + STRINGS)
+                            found = of_text(raw[offsets[r] : offsets[r + 1]], doc, a[piece], b[piece], trigger[piece], strings[piece])
+                            held[split].append(found)
+                            n[split] += len(found[5])
+                            if n[split] >= 8 * COMBINE:
+                                yield from passed_on[split](held[split])
+                                held[split], n[split] = [], 0
+        for split in (False, True):
+            if held[split]:
+                yield from passed_on[split](held[split])
 
     return todo.mapInArrow(W.tidy(run), BLOCK_DDL)
 
 
 def ordered(blocks: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows of bytes known to go: all but the first of equal windows, by fingerprint and corpus order."""
+    """Rows of bytes known to go: all but the first in corpus order of the windows of each rank."""
+
+    def one(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        doc, place, count, raw = _in_corpus_order(held, length)
+        gone = _again(raw, count, length)
+        if gone.any():
+            inner = np.arange(len(gone)) - np.repeat(np.cumsum(count) - count, count)
+            doc, place = np.repeat(doc, count)[gone], (np.repeat(place, count) + inner)[gone]
+            yield _covered(doc, place, np.ones(len(doc), np.int64), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        for _, (mark, doc, place), _ in _each_part(_only_blocks(batches, passed), _WINDOWS, 1 << 62):
-            order, first = _first_of_each([mark], doc, place)
-            gone = order[~first]
-            if len(gone):
-                yield _covered(doc[gone], place[gone], np.ones(len(gone), np.int64), length)
+        now, held = None, []
+        for batch in _only_blocks(batches, passed):
+            for part, n, data in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if part != now and held:
+                    yield from one(held)
+                    held = []
+                now = part
+                held.append((n, data))
             while passed:
                 yield passed.pop()
+        if held:
+            yield from one(held)
         while passed:
             yield passed.pop()
 

@@ -2,10 +2,15 @@
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z counts as
 a-z.  UTF-8 continuation bytes are never in that set, so byte-wise splitting
-equals splitting by code point.  All hashes are 64 bit: a word is a polynomial
-over random per-byte values, a shingle a mixed combination of its five word
-hashes.  Texts are hashed in pieces cut at white space, so memory stays near
-``PIECE`` times a small constant whatever the text length is.
+equals splitting by code point.  All hashes are 64 bit.  A word or line is
+hashed by tabulation: every byte at every place has a value of its own, drawn
+by a mixer, and the hash is the mixed sum of them.  No algebra ties the values
+together, so texts of a regular build (such as one word and its mirror under
+a swap of letters) clash no more often than chance has it, 2 ** -64 a pair,
+which a polynomial modulo 2 ** 64 can't promise.  A shingle folds its words'
+hashes in one by one with a mixer between.  Texts are hashed in pieces cut at
+white space, so memory stays near ``PIECE`` times a small constant whatever
+the text length is.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ CHUNK = 1 << 20
 SHINGLE_WORDS = 5
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = np.uint64(0xD1342543DE82EF95)
+#: Places whose byte values are kept in a table; those further on are computed.
+PLACES = 256
+BLANK, NEWLINE = b" \t\n\v\f\r", b"\n"
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -66,29 +73,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _byte_values(lower: bool = False, blank: bytes = b" \t\n\v\f\r") -> np.ndarray:
-    """A random value for each byte; 0 for those that end a unit."""
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def _fold(lower: bool) -> np.ndarray:
+    """The byte that each byte counts as."""
+    fold = np.arange(256, dtype=np.uint64)
     if lower:
-        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    values[list(blank)] = 0
-    return values
-
+        fold[ord("A") : ord("Z") + 1] += np.uint64(32)
+    return fold
 
-_powers: dict[int, np.ndarray] = {}
 
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; grown by doubling and kept."""
-    have = _powers.get(base)
-    if have is None:
-        have = np.ones(1, dtype=np.uint64)
-    while len(have) < n:
-        step = np.uint64(pow(base, len(have), 1 << 64))
-        have = np.concatenate([have, have * step])
-    _powers[base] = have
-    return have[:n]
+@cache
+def _values(lower: bool, blank: bytes) -> np.ndarray:
+    """The value of byte b at place p, at 256 p + b, for the first places; 0 for bytes that end a unit."""
+    keys = np.arange(PLACES, dtype=np.uint64)[:, None] * np.uint64(256) + _fold(lower)
+    values = mix((keys + np.uint64(1)) * _STEP)
+    values[:, list(blank)] = 0
+    return values.ravel()
+
+
+def _unit_hashes(piece: np.ndarray, at: np.ndarray, lower: bool, blank: bytes) -> np.ndarray:
+    """The hash of each unit of a piece, from its first byte, given in ``at``, to the next one's; blank bytes don't count."""
+    lengths = np.diff(np.append(at, len(piece)))
+    place = np.arange(at[0], len(piece), dtype=np.int64)
+    place -= np.repeat(at, lengths)
+    own = piece[at[0] :]
+    value = _values(lower, blank).take(place * 256 + own, mode="clip")
+    if lengths.max() > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        value[far] = 0
+        far = far[~np.isin(own[far], np.frombuffer(blank, np.uint8))]
+        value[far] = mix((place[far].astype(np.uint64) * np.uint64(256) + _fold(lower)[own[far]] + np.uint64(1)) * _STEP)
+    return mix(np.add.reduceat(value, at - at[0]))
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +148,6 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     """(hash of each word, first byte of each word, first word of each row and the total)."""
     hashes, starts = [], []
     edges = offsets[:-1][np.diff(offsets) > 0]
-    values = _byte_values(lower)
     for a, b in _cuts(raw, SPACE):
         piece = raw[a:b]
         word = ~SPACE[piece]
@@ -144,8 +157,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
         first[inner] = word[inner]
         at = np.flatnonzero(first)
         if len(at):
-            total = np.add.reduceat(values[piece] * powers(_BASE, b - a), at)
-            hashes.append(mix(total * powers(_BASE_INVERSE, b - a)[at]))
+            hashes.append(_unit_hashes(piece, at, lower, BLANK))
             starts.append(at + a)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
@@ -159,7 +171,7 @@ def line_hashes(raw: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tupl
     """
     hashes, starts = [], []
     edges = offsets[:-1][np.diff(offsets) > 0]
-    values, newline = _byte_values(False, b"\n"), np.arange(256) == 10
+    newline = np.arange(256) == 10
     for a, b in _cuts(raw, newline):
         piece = raw[a:b]
         first = np.zeros(b - a, dtype=bool)
@@ -167,8 +179,7 @@ def line_hashes(raw: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tupl
         first[0] = True
         first[edges[np.searchsorted(edges, a) : np.searchsorted(edges, b)] - a] = True
         at = np.flatnonzero(first)
-        total = np.add.reduceat(values[piece] * powers(_BASE, b - a), at)
-        hashes.append(mix(total * powers(_BASE_INVERSE, b - a)[at]))
+        hashes.append(_unit_hashes(piece, at, False, NEWLINE))
         starts.append(at + a)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
@@ -181,10 +192,12 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n consecutive words."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    total = np.full(len(words) - n + 1, n, dtype=np.uint64)
     for k in range(n):
-        total += words[k : k + len(total)] * np.uint64(pow(_BASE_INVERSE, k + 1, 1 << 64))
-    return mix(total + np.uint64(n))
+        total += words[k : k + len(total)]
+        total *= _M1
+        total ^= total >> np.uint64(32)
+    return mix(total)
 
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
