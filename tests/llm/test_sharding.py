@@ -23,6 +23,32 @@ def test_least_capacity(sizes, shards):
     assert S.least_capacity(sizes, shards) == brute_least(sizes, shards)
 
 
+def shares_of(sizes, shards):
+    capacity = S.least_capacity(sizes, shards)
+    ends, _ = S.even_cuts(sizes, capacity, shards)
+    bounds = [0, *ends, len(sizes)]
+    assert len(bounds) == shards + 1 and bounds == sorted(bounds)
+    return capacity, [sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40), st.integers(1, 9))
+def test_even_cuts_keep_the_capacity_and_fill_every_shard(sizes, shards):
+    capacity, shares = shares_of(sizes, shards)
+    assert max(shares, default=0) <= capacity
+    assert sum(1 for s in shares if s) == min(shards, len(sizes))
+
+
+def test_even_cuts_are_even():
+    capacity, shares = shares_of([1] * 1000 + [500] + [1] * 1000, 16)
+    assert capacity == 500 == max(shares)
+    rest = sorted(shares)[:-1]
+    assert rest[0] >= 62 and sum(rest) == 2000 and rest[1] >= 120 and rest[-1] <= 160
+    for sizes in ([1] * 997, [1, 2, 3, 4, 5] * 200, [7] * 16 + [1] * 300):
+        _, shares = shares_of(sizes, 16)
+        assert max(shares) - min(shares) <= 2 * max(sizes)
+
+
 def expected(rows, shards):
     groups = defaultdict(int)
     for _, t in rows:
@@ -43,6 +69,20 @@ def test_parts_taken_apart(spark, digits, monkeypatch):
     for k, size in groups.items():
         shares[sum(k >= f for f in firsts)] += size
     assert max(shares.values()) == least
+    assert len(shares) == 7 and min(shares.values()) >= sum(groups.values()) / 7 - max(groups.values())
+
+
+def test_a_huge_group_leaves_no_shard_empty(spark):
+    groups = [(f"{k:032x}", 1) for k in range(0, 16**3 * 300, 617)]
+    groups.insert(700, (groups[700][0][:-1] + "z", 900))
+    table = spark.createDataFrame(groups, "key string, size long")
+    for digits in (3, 31):
+        firsts = S.partition(table, 16, digits)
+        shares = defaultdict(int)
+        for k, size in groups:
+            shares[sum(k >= f for f in firsts)] += size
+        assert len(shares) == 16 and max(shares.values()) == 900
+        assert sorted(shares.values())[1] > 100
 
 
 def check(rows, got, shards):
@@ -57,6 +97,7 @@ def check(rows, got, shards):
     assert all(len(s) == 1 for s in by_text.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(sizes.values(), default=0) == least
+    assert len(sizes) == min(shards, len(groups))
 
 
 def test_frame(spark):

@@ -3,7 +3,10 @@
 Rows of equal text are one group, and groups are kept in a fixed order, that
 of the text's md5; a shard is a run of groups.  The largest shard is as small
 as it can be: the least capacity is found by binary search, each capacity
-being checked by filling shards greedily in order.
+being checked by filling shards greedily in order.  Of the partitions within
+that capacity an even one is taken: each shard ends at the group's end nearest
+to its equal share of what is left, as far as the rest still fits, and no shard
+stays empty while there are groups for it.
 
 The search never holds all groups.  It starts from sums of groups by the first
 digits of their keys, bounds the places where cuts can fall, and takes only
@@ -18,7 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -71,6 +74,37 @@ def least_capacity(sizes: list[int], shards: int, low: int = 0) -> int:
     return low
 
 
+def even_cuts(sizes: list[int], capacity: int, shards: int) -> tuple[list[int], set[int]]:
+    """The end of each shard but the last, near equal shares within a capacity, and the parts on which they turned.
+
+    The ends are right if none of those parts could be taken apart.
+    """
+    sums = [0, *accumulate(sizes)]
+    n, total, turned = len(sizes), sums[-1], set()
+    latest = [n]  # latest[j]: the first place from which all that follows fits j shards
+    for _ in range(shards - 1):
+        at = bisect_left(sums, sums[latest[-1]] - capacity, 0, latest[-1] + 1)
+        if at:
+            turned.add(at - 1)
+        latest.append(at)
+    ends, at = [], 0
+    for left in range(shards, 1, -1):
+        most = bisect_right(sums, sums[at] + capacity, at) - 1
+        share = sums[at] + (total - sums[at]) / left
+        near = bisect_left(sums, share, at, n + 1)
+        if near < n:
+            turned.update((max(0, near - 1), near))
+        if near > at and (near > n or share - sums[near - 1] <= sums[near] - share):
+            near -= 1
+        if most < n:
+            turned.add(most)
+        low = max(latest[left - 1], min(n, at + 1))
+        high = max(at, min(most, max(at + 1, n - (left - 1))))
+        at = min(n, max(low, min(high, near)))
+        ends.append(at)
+    return ends, turned
+
+
 def partition(groups: DataFrame, shards: int, digits: int = DIGITS) -> list[str]:
     """The first key of each shard but the first.  groups: key, size, by distinct key.
 
@@ -87,9 +121,15 @@ def partition(groups: DataFrame, shards: int, digits: int = DIGITS) -> list[str]
         sums = found.groupBy(head.alias("prefix")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("key").alias("key"))
         return [Part(r["key"] if r["n"] == 1 else r["prefix"], r["size"], r["n"] == 1) for r in sums.collect()]
 
+    def taken_apart(known: list[Part], which: set[int]) -> list[Part]:
+        """The parts with those taken apart by ``digits`` more digits of their keys."""
+        finer = []
+        for length in sorted({len(known[j].prefix) for j in which}):
+            finer += parts([known[j].prefix for j in sorted(which) if len(known[j].prefix) == length], min(KEY_DIGITS, length + digits))
+        return sorted([p for j, p in enumerate(known) if j not in which] + finer, key=lambda p: p.prefix)
+
     largest = groups.agg(F.max("size")).first()[0] or 0
     known = sorted(parts(None, digits), key=lambda p: p.prefix)
-    depth = digits
     while True:
         sizes = [p.size for p in known]
         totals = list(accumulate(sizes))
@@ -107,14 +147,17 @@ def partition(groups: DataFrame, shards: int, digits: int = DIGITS) -> list[str]
             suspects.update(j for j in range(at, min(last, len(known) - 1) + 1) if not known[j].single)
         if not suspects:
             break
-        open_prefixes = sorted({known[j].prefix for j in suspects})
-        depth = min(KEY_DIGITS, depth + digits)
-        finer = []
-        for length in sorted({len(p) for p in open_prefixes}):
-            finer += parts([p for p in open_prefixes if len(p) == length], depth)
-        known = sorted([p for j, p in enumerate(known) if j not in suspects] + finer, key=lambda p: p.prefix)
-    ends = cuts(totals, least_capacity(sizes, shards, low), shards) or []
-    return [known[e].prefix if e < len(known) else "~" for e in ends[: shards - 1]]
+        known = taken_apart(known, suspects)
+    capacity = high
+    while True:
+        ends, turned = even_cuts([p.size for p in known], capacity, shards)
+        if len(known) < 4 * shards:
+            turned = set(range(len(known)))
+        turned = {j for j in turned if not known[j].single}
+        if not turned:
+            break
+        known = taken_apart(known, turned)
+    return [known[e].prefix if e < len(known) else "~" for e in ends]
 
 
 def shard_of(key: Column, firsts: list[str]) -> Column:
