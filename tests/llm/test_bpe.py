@@ -7,11 +7,13 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tidelog.llm import bpe
 
 PATH, PATTERN = bpe.multilingual()
 JSON = P.path("byte_bpe_50k.json")
+UNTOUCHED = Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -53,10 +55,39 @@ def test_many_words(library):
 @given(st.text(max_size=60))
 def test_json_file_split_or_whole(text):
     encoder = bpe.json_encoder(JSON)
-    whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    whole = UNTOUCHED.encode(text, add_special_tokens=False).ids
     assert ids(encoder, text) == whole
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>é", "<|endoftext", "日本<|endoftext|>"])
+def test_special_strings(text, library):
+    encoder = bpe.json_encoder(JSON)
+    assert ids(encoder, text) == UNTOUCHED.encode(text, add_special_tokens=False).ids
+    assert ids(bpe.ranks_encoder(PATH, PATTERN), text) == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\p{N}{1,3}|[^\p{L}\p{N}]", r"\S+|\s+", r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"])
+def test_other_patterns(pattern):
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    encoder = bpe.ranks_encoder(PATH, pattern)
+    for text in [*ODD, "The year 20245, it's (really) fine.\n\n  Next\tline!"]:
+        assert ids(encoder, text) == own.encode_ordinary(text)
+
+
+def test_another_pre_tokenizer(tmp_path):
+    import json
+
+    from tokenizers import pre_tokenizers
+
+    t = Tokenizer.from_file(JSON)
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    path = str(tmp_path / "t.json")
+    t.save(path)
+    assert json.loads(open(path).read())["pre_tokenizer"]["type"] == "Sequence"
+    for text in ("it is 2024 now", "1234567", "a  b 99"):
+        assert ids(bpe.json_encoder(path), text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_small_cache(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     encoder = bpe.ranks_encoder(PATH, PATTERN)
@@ -87,7 +118,10 @@ def test_frames(spark, library):
         assert r["doc_id"] == i and r["n_tokens"] == len(want)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
-    back = bpe.decode_frame(bpe.encode_frame(docs.select("doc_id", "text"), PATH, PATTERN), PATH, PATTERN).collect()
+    clash = docs.selectExpr("doc_id", "text", "ids", "'s' as starts", "1 as ends", "2 as data")
+    back = bpe.decode_frame(bpe.encode_frame(clash, PATH, PATTERN), PATH, PATTERN)
+    assert back.columns == ["doc_id", "starts", "ends", "data"]
+    back = back.collect()
     assert [bytes(r["data"]).decode() for r in back if "data" in r] == [t or "" for _, t, _ in rows]
     assert bpe.digests(docs.limit(0), PATH, PATTERN).count() == 0
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from tidelog.llm import token_planes as T
 from tidelog.llm.common import written
-from tidelog.llm.storage import new_file, reader
+from tidelog.llm.storage import new_file, own_name, reader
 
 
 @pytest.mark.parametrize("unit", ["bit", "byte"])
@@ -60,7 +60,6 @@ def test_broken_file_is_refused(tmp_path):
 
 def want(rows):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, at = [], 0
     for d, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -83,10 +82,31 @@ def test_frames(spark, tmp_path, unit):
     got = T.read(twice).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, None, *(d for d, _ in rows for _ in range(2))]
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    with pytest.raises(TypeError):
+        T.write(docs.withColumn("doc_id", docs.doc_id.cast("string")), P.path("byte_bpe_50k.json"), "unused")
     none, _ = written(T.write(docs.limit(0), P.path("byte_bpe_50k.json"), f"file://{tmp_path}/{unit}0", unit), "t")
     assert T.read(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", ["FILE_BYTES", "FILE_DOCUMENTS"])
+def test_files_end_at_their_size(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(T, limit, 5)
+    rows = [(k, "some words " * (k % 7)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files, _ = written(T.write(docs, P.path("byte_bpe_50k.json"), f"file://{tmp_path}/f"), "t")
+    assert files.count() > 10 and files.agg({"documents": "max"}).first()[0] <= (60 if limit == "FILE_BYTES" else 5)
+    assert sorted(tuple(r) for r in T.read(files).collect()) == want(rows)
+
+
+def test_a_file_that_fails_leaves_nothing(tmp_path):
+    with pytest.raises(RuntimeError), new_file(f"{tmp_path}/x/y.idp") as out:
+        out.write(b"half")
+        raise RuntimeError
+    assert list((tmp_path / "x").iterdir()) == []
+    names = {own_name("s3://b/c.d/part-1.warc.gz") for _ in range(3)}
+    assert len(names) == 3 and all(n.startswith("s3://b/c.d/part-1-") and n.endswith(".warc.gz") for n in names)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())

@@ -3,17 +3,24 @@
 A text is split into pretokens; each distinct pretoken is encoded once by the
 library and its ids are kept, so most of a text is table look-ups.  Texts of
 plain characters are split by a pattern of the standard library that agrees
-with the tokenizer's on them; any other text is split by the pattern itself.
-
-Null texts count as empty and have no ids.  Texts are encoded whole.  Repeated
-rows are encoded alike, ids of documents may be null, an empty table gives no
-rows and other columns are ignored.
+with the usual pattern of byte-level vocabularies on them; any other text, and
+every text of a tokenizer with a pattern of its own, is split by that pattern
+or by the tokenizer itself.  A text with the string of an added token goes to
+the tokenizer as a whole.
+
+Null texts count as empty and have no ids.  Texts are encoded whole, very long
+ones alone.  Of pairs of equal rank the first merges, and no two pairs of
+different rank tie.  Repeated rows are encoded alike, ids of documents may be
+null, an empty table gives no rows and other columns are ignored, or kept by
+the functions on frames; there own columns named ids, starts, ends or data give
+way to the new ones.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -36,6 +43,8 @@ CACHE_CHARS = 64
 #: Texts of these characters alone are split by the standard library; on them the classes below are \p{L}, \p{N} and \s.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _ODD = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
+#: The pattern that _PLAIN agrees with, a fixed value.
+USUAL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_LETTERS}0-9\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 #: Pretokens that may be encoded many in one text, a line break between.
 _JOINABLE = re.compile(rf" ?[{_LETTERS}]+")
@@ -80,11 +89,14 @@ class Encoder:
 
     tokenizer: of the tokenizers library; it must encode each pretoken as it
     would within a text.  split: the pattern for odd texts, or None if the
-    tokenizer itself splits those.
+    tokenizer itself splits those.  usual: whether plain texts may be split by
+    the standard library.
     """
 
-    def __init__(self, tokenizer, split=None):
-        self.tokenizer, self.split = tokenizer, split
+    def __init__(self, tokenizer, split=None, usual: bool = False):
+        self.tokenizer, self.split, self.usual = tokenizer, split, usual
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         back = character_bytes()
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         names = [tokenizer.id_to_token(k) or "" for k in range(size)]
@@ -117,7 +129,9 @@ class Encoder:
 
     def pretokens(self, text: str) -> list[str] | None:
         """The text's pretokens, or None if the tokenizer must split it."""
-        if _ODD.search(text) is None:
+        if self.added and self.added.search(text):
+            return None
+        if self.usual and _ODD.search(text) is None:
             return _PLAIN.findall(text)
         return self.split.findall(text) if self.split else None
 
@@ -156,13 +170,15 @@ class Encoder:
 
 @cache
 def json_encoder(path: str) -> Encoder:
-    """Of a tokenizer file; strings of special tokens are ordinary text."""
+    """Of a tokenizer file, as the library reads it."""
     _quiet()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return Encoder(tokenizer)
+    told = json.loads(tokenizer.to_str())
+    splits = told["pre_tokenizer"] or {}
+    usual = told["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+    return Encoder(tokenizer, usual=bool(usual))
 
 
 @cache
@@ -177,7 +193,7 @@ def ranks_encoder(path: str, pattern: str) -> Encoder:
     model = models.BPE({names[t]: r for t, r in ranks.items()}, [(names[a], names[b]) for a, b in merges_of(ranks)], ignore_merges=True)
     tokenizer = Tokenizer(model)
     tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return Encoder(tokenizer, regex.compile(pattern))
+    return Encoder(tokenizer, regex.compile(pattern), usual=pattern == USUAL_PATTERN)
 
 
 def offsets(table: list[bytes], ids: list[int]) -> tuple[list[int], list[int]]:
@@ -201,7 +217,7 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 
 def encode_frame(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """The frame with ids, and starts and ends in characters, in place of the text."""
-    rest = [f for f in docs.schema.fields if f.name != text]
+    rest = [f for f in docs.schema.fields if f.name not in (text, "ids", "starts", "ends")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = ranks_encoder(path, pattern)
@@ -217,7 +233,7 @@ def encode_frame(docs: DataFrame, path: str, pattern: str, text: str = "text") -
 
 def decode_frame(coded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """The frame with the decoded bytes, ``data``, in place of the ids."""
-    rest = [f for f in coded.schema.fields if f.name != ids]
+    rest = [f for f in coded.schema.fields if f.name not in (ids, "data")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ranks_encoder(path, pattern)

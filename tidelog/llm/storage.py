@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -19,15 +19,28 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def own_name(uri: str) -> str:
+    """The name with a mark of this attempt in it.
+
+    A task run twice writes two files, and the table of files, made of the rows
+    of the attempt that counts, names one; the other goes with its folder.
+    """
+    stem, dot, ending = uri.rpartition("/")[2].partition(".")
+    return f"{uri.rpartition('/')[0]}/{stem}-{uuid.uuid4().hex[:12]}{dot}{ending}"
+
+
 @contextmanager
 def new_file(uri: str) -> Iterator[pa.NativeFile]:
-    """A file that appears under its name only when complete, so a task that is lost or run twice does no harm."""
+    """A file to write; it is removed if writing fails."""
     store, path = place(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    draft = f"{path}.{uuid.uuid4().hex[:8]}.draft"
-    with store.open_output_stream(draft) as out:
-        yield out
-    store.move(draft, path)
+    try:
+        with store.open_output_stream(path) as out:
+            yield out
+    except BaseException:
+        with suppress(OSError):
+            store.delete_file(path)
+        raise
 
 
 def reader(uri: str) -> pa.NativeFile:

@@ -13,8 +13,13 @@ one chunk or one document can be read alone.
     index   = zstandard frame of: JSON header, then arrays named in it
     trailer = offset and length of the index, crc32 of it, magic
 
+A file ends at ``FILE_BYTES`` or ``FILE_DOCUMENTS``, so that neither its index
+nor the task that reads it grows with the corpus; a document is in one file.
+
 Null texts count as empty and have only the end id.  Texts are encoded whole;
-memory is bounded by a block and the text at hand.  Rows of one doc_id keep
+memory is bounded by a block and the text at hand.  The strings of special
+tokens are what the library makes of them, their own ids.  doc_id must be a
+whole number and is read back as bigint.  Rows of one doc_id keep
 apart, in any order; null ids come first; an empty table writes no files and
 gives no rows; other columns are ignored.
 """
@@ -33,15 +38,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidelog.llm.bpe import json_encoder, texts_of
 from tidelog.llm.common import new_folder, shuffle_partitions, tables, written
-from tidelog.llm.storage import new_file, reader
+from tidelog.llm.storage import new_file, own_name, reader
 from tidelog.llm.wordhash import text_chunks
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
 LEVEL = 1
+FILE_BYTES = 64 << 20
+FILE_DOCUMENTS = 1 << 20
 END_ID = 0
 _TRAILER = struct.Struct("<QQI8s")
 
@@ -189,35 +197,36 @@ class Reader:
 def write(docs: DataFrame, path: str, folder: str, unit: str = "byte", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes the texts by the tokenizer file and writes files in ascending order of ids.
 
-    Returns a row a file: part, path, documents, ids; the files' order is that of part.
+    Returns a row a file: part, piece, path, documents, ids; the files' order is that of part and piece.
     """
+    if not isinstance(docs.schema[doc].dataType, IntegralType):
+        raise TypeError(f"{doc} must be a whole number")
     n = shuffle_partitions(docs.sparkSession)
     ordered = docs.select(F.col(doc).cast("bigint").alias("d"), F.col(text).alias("t")).repartitionByRange(n, "d", F.xxhash64("t")).sortWithinPartitions("d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        encoder, writer, end = json_encoder(path), None, np.array([END_ID], "<u4")
-        uri = f"{folder}/part-{part:06d}.idp"
-        chunks = (c for b in batches for c in text_chunks(b, "t"))
-        first = next(chunks, None)
-        if first is None:
-            return
-        with new_file(uri) as out:
-            writer = Writer(out, unit)
-            while first is not None:
-                for d, packed in zip(first.column("d").to_pylist(), encoder.encode(texts_of(first, "t")), strict=True):
-                    writer.add(d, np.concatenate([np.frombuffer(packed, "<u4"), end]))
-                first = next(chunks, None)
-            total = writer.close()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [uri], "documents": pa.array([len(writer.lengths)], pa.int64()), "ids": pa.array([total], pa.int64())})
-
-    return ordered.mapInArrow(run, "part int, path string, documents bigint, ids bigint")
+        part, piece = TaskContext.get().partitionId(), 0
+        encoder, end = json_encoder(path), np.array([END_ID], "<u4")
+        coded = ((d, packed) for b in batches for c in text_chunks(b, "t") for d, packed in zip(c.column("d").to_pylist(), encoder.encode(texts_of(c, "t")), strict=True))
+        row = next(coded, None)
+        while row is not None:
+            uri = own_name(f"{folder}/part-{part:06d}-{piece:06d}.idp")
+            with new_file(uri) as out:
+                writer = Writer(out, unit)
+                while row is not None and (not writer.lengths or writer.at < FILE_BYTES and len(writer.lengths) < FILE_DOCUMENTS):
+                    writer.add(row[0], np.concatenate([np.frombuffer(row[1], "<u4"), end]))
+                    row = next(coded, None)
+                total = writer.close()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "path": [uri], "documents": pa.array([len(writer.lengths)], pa.int64()), "ids": pa.array([total], pa.int64())})
+            piece += 1
+
+    return ordered.mapInArrow(run, "part int, piece int, path string, documents bigint, ids bigint")
 
 
 def read(files: DataFrame, doc: str = "doc_id") -> DataFrame:
     """A row a document from the files: id, place of its first id among all, number and crc32 of its ids."""
     spark = files.sparkSession
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file, not a row a document
+    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # a row a file, not a row a document
     placed = files.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
