@@ -63,6 +63,35 @@ def test_code_lengths_are_exact(monkeypatch):
         assert L.code_lengths(model, raw, offsets) == pytest.approx(np.array(want), rel=1e-4, abs=1e-3)
 
 
+def test_states_are_the_same_without_their_table(monkeypatch):
+    rng = random.Random(4)
+    samples = {k: [bytes(rng.choices(range(256), k=4000)), bytes(rng.choices(a, k=3000))] for k, a in (("xx", b"abc "), ("yy", b"abd "))}
+    whole = L.fit(samples, table_bytes=1 << 20)
+    monkeypatch.setattr(L, "STATE_BYTES", 0)
+    parts = L.fit(samples, table_bytes=1 << 20)
+    assert whole.states is not None or whole.width == 257
+    assert parts.states is None
+    code = np.array([rng.randrange(parts.width**3) for _ in range(5000)] + [0])
+    small = L.fit(SAMPLES)
+    assert small.states is None
+    monkeypatch.setattr(L, "STATE_BYTES", 1 << 30)
+    assert (L.fit(samples, table_bytes=1 << 20).state(code) == parts.state(code)).all()
+    code = np.arange(small.width**3)
+    assert (L.fit(SAMPLES).state(code) == small.state(code)).all()
+
+
+def test_long_rows_are_cut_and_the_sample_is_bounded(spark):
+    rows = [(k, "lama moru tali é " * 9000, "xx") for k in range(12)] + [(k, "krz sztu gdye", "yy") for k in range(500)] + [(k, "", "zz") for k in range(400)] + [(999, "óóó ááá", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    keep, L.fit = L.fit, lambda samples: seen.update(samples)
+    try:
+        L.fit_on(docs, "text", "lang", F.xxhash64("doc_id", "lang"), rows=50, row_bytes=1000, nbytes=4500)
+    finally:
+        L.fit = keep
+    assert [len(t) for t in seen["xx"]] == [1000] * 5 and len(seen["yy"]) == 50 and seen["zz"] == ["óóó ááá".encode()]
+
+
 def test_each_row_of_the_tables_is_a_law():
     model = L.fit(SAMPLES)
     p = np.exp2(-model.bits.reshape(2, -1, model.width).astype(float))
@@ -87,6 +116,8 @@ def test_rows(spark):
     assert [r["lang_pred"] for r in out[:80]] == ["xx", "yy"] * 40
     assert [r["lang_pred"] for r in out[80:]] == ["und", "und", "xx", "und", "und", "yy"]
     assert all(0 <= r["score"] <= 1 for r in out) and out[80]["score"] == 0
+    clash = L.identify(docs.selectExpr("doc_id", "text", "'s' as score", "1 as lang_pred", "2 as lettered"), model)
+    assert clash.columns == ["doc_id", "lettered", "lang_pred", "score"] and [r["lang_pred"] for r in clash.collect()] == [r["lang_pred"] for r in out]
     empty = docs.limit(0)
     assert L.fit_on(empty, "text", "lang", F.xxhash64("doc_id")) is None
     assert [r["lang_pred"] for r in L.identify(docs.select("doc_id", "text"), None).collect()] == ["und"] * len(rows)

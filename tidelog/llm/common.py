@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -94,6 +94,14 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores before it as long as a column has it; Spark tells names apart without case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     old = spark.conf.get(key, None)

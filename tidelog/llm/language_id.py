@@ -5,13 +5,19 @@ probabilities (method C, with exclusion of what the longer context has seen).
 The trees are frozen after fitting, so a text's code length under a language
 is a sum of table entries; the least code length wins.  Languages are fitted
 in blocks, those with samples of like size together, so that however many
-there are, the trees of a block have the same room.
+there are, the trees of a block have the same room: no language is left out,
+and each takes at most some 6 MB of the broadcast model.
+
+Every language is learned from a bounded sample of its rows with text: at most
+SAMPLE_ROWS of them and SAMPLE_BYTES together, each cut after SAMPLE_ROW_BYTES.
 
 Texts that are null or have no letter get ``und`` and score 0; so does every
 text if there is nothing to learn from.  Texts are scored whole, in pieces
-that carry their context over, so long ones need no more memory.  Repeated
-rows are scored alike; null ids and languages are never learned from; an
-empty table gives no rows; other columns are ignored.
+that carry their context over, so long ones need no more memory.  Of languages
+of equal code length the first by name wins.  Repeated rows are scored alike;
+null ids and languages are never learned from; an empty table gives no rows;
+other columns are kept, but for those named lang_pred and score, which give
+way to the new ones.
 """
 
 from __future__ import annotations
@@ -21,18 +27,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import wordhash as W
-from tidelog.llm.common import map_batches, tables
+from tidelog.llm.common import fresh, map_batches, tables
 
 ORDER = 3
-#: The bounds of the fit: labelled rows a language, bytes a row, languages a block, and context states of a block.
+#: The bounds of the fit: labelled rows a language, bytes a row, bytes a language, languages a block, and tables of a block.
 SAMPLE_ROWS = 400
 SAMPLE_ROW_BYTES = 32_768
+SAMPLE_BYTES = 4 << 20
 BLOCK = 4
 TABLE_BYTES = 8 << 20
+#: Up to this size the states of a block are looked up by context in one table, beyond it order by order; results are the same.
+STATE_BYTES = 16 << 20
 
 UNKNOWN = "und"
 PIECE = 1 << 18
@@ -40,8 +49,10 @@ PIECE = 1 << 18
 
 @dataclass
 class Model:
-    """classes: of each byte, 0 for those never learned. states: of each run of ORDER classes, oldest first.
+    """classes: of each byte, 0 for those never learned.  kept: of each order the contexts in the tree, ascending.
 
+    A context's state is its place among all kept, orders in turn.
+    states: of each run of ORDER classes, oldest first, or None if that table would be too large.
     bits[l]: code length of class c after state s, at s * width + c, for language l.
     rest: the models of further blocks of languages.
     """
@@ -49,10 +60,24 @@ class Model:
     languages: list[str]
     classes: np.ndarray
     width: int
-    states: np.ndarray
+    kept: list[np.ndarray]
+    states: np.ndarray | None
     bits: np.ndarray
     rest: list[Model] = field(default_factory=list)
 
+    def state(self, code: np.ndarray) -> np.ndarray:
+        """The state of the longest kept context that each run of ORDER classes ends with."""
+        if self.states is not None:
+            return self.states[code].astype(np.int64)
+        out, first = np.zeros(len(code), dtype=np.int64), 0
+        for n, contexts in enumerate(self.kept):
+            if n and len(contexts):
+                short = code % self.width**n
+                at = np.minimum(np.searchsorted(contexts, short), len(contexts) - 1)
+                out = np.where(contexts[at] == short, first + at, out)
+            first += len(contexts)
+        return out
+
 
 def _contexts(symbols: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """For each symbol the number of the ORDER symbols before it, 0 before a text's start."""
@@ -135,14 +160,15 @@ def _fit_block(languages: list[str], samples: dict[str, list[bytes]], order: int
         kept.append(np.array(sorted(c for k, c in chosen if k == n and c % width ** (n - 1) in last), dtype=np.int64))
     tables = [_tree_tables(own, kept, width, 256 - len(seen)) for own in counts]
     bits = np.stack([-np.log2(np.maximum(t, 1e-30)).astype(np.float32).ravel() for t in tables])
-    states, first = np.zeros(width**order, dtype=np.int32), 1
+    kind = np.dtype(np.uint16 if bits.shape[1] // width <= 1 << 16 else np.int32)
+    if width**order * kind.itemsize > STATE_BYTES:
+        return Model(languages, classes, width, kept, None, bits)
+    states, first = np.zeros(width**order, dtype=kind), 1
     for n in range(1, order + 1):
-        span = width ** (order - n)
-        own = np.arange(first, first + len(kept[n]), dtype=np.int32)
-        wide = states.reshape(span, width**n)
-        wide[:, kept[n]] = own
-        first += len(own)
-    return Model(languages, classes, width, states, bits)
+        wide = states.reshape(width ** (order - n), width**n)
+        wide[:, kept[n]] = np.arange(first, first + len(kept[n]))
+        first += len(kept[n])
+    return Model(languages, classes, width, kept, states, bits)
 
 
 def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -166,7 +192,7 @@ def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarr
                 at = edges + d - a
                 before[at[(at >= 0) & (at < b - a)]] = 0
             code = code * width + before
-        place = model.states[code] * np.int64(width) + symbols[a - back :]
+        place = model.state(code) * width + symbols[a - back :]
         filled = np.flatnonzero(np.minimum(offsets[first + 1 : last + 1], b) > np.maximum(edges, a))
         at = np.maximum(edges[filled], a) - a
         for l in range(len(model.languages)):
@@ -188,24 +214,25 @@ def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarra
     return [named[by_name[k]] for k in best.tolist()], 1 / odds.sum(axis=0)
 
 
-def fit_on(docs: DataFrame, text: str, language: str, order: Column, rows: int = SAMPLE_ROWS, row_bytes: int = SAMPLE_ROW_BYTES) -> Model | None:
-    """A model of at most ``rows`` labelled rows a language, of at most ``row_bytes`` bytes each.
+def fit_on(docs: DataFrame, text: str, language: str, order: Column, rows: int = SAMPLE_ROWS, row_bytes: int = SAMPLE_ROW_BYTES, nbytes: int = SAMPLE_BYTES) -> Model | None:
+    """A model of a sample of the labelled rows with text: of each language at most ``rows``, cut after ``row_bytes`` bytes, and ``nbytes`` in all.
 
-    ``order``: a hash of each row, by which the sample is chosen.  Counting
-    rows reads no text; only rows near the head of the order are then read.
+    ``order``: a hash of each row, by which the sample is chosen.  Only some
+    twice the rows asked for are ranked, the head of the order.
     """
     share = F.pmod(order, F.lit(1 << 30)) / (1 << 30)
-    pool = docs.filter(F.col(language).isNotNull() & order.isNotNull())
+    pool = docs.filter(F.col(language).isNotNull() & order.isNotNull() & (F.col(text) != ""))
     found = pool.groupBy(F.col(language).alias("l")).count().collect()
     if not found:
         return None
-    bound = F.create_map(*(F.lit(x) for r in found for x in (r["l"], 2.0 * rows / r["count"])))[F.col(language)]
-    near = pool.filter(share < bound).filter(F.octet_length(F.col(text)).between(1, row_bytes))
-    head = near.select(F.col(language).alias("l"), F.col(text).alias("t"), share.alias("s")).orderBy("s").limit(4 * rows * len(found)).collect()
+    bound = F.create_map(*(F.lit(x) for r in found for x in (r["l"], 2.0 * rows / r["count"] + 1e-9)))[F.col(language)]
+    near = pool.filter(share < bound).select(F.col(language).alias("l"), F.left(F.col(text), F.lit(row_bytes)).alias("t"), share.alias("s"))
+    first = Window.partitionBy("l").orderBy("s", "t")
+    ranked = near.withColumns({"k": F.row_number().over(first), "before": F.sum(F.least(F.octet_length("t"), F.lit(row_bytes))).over(first.rowsBetween(Window.unboundedPreceding, -1))})
+    head = ranked.filter((F.col("k") <= rows) & (F.coalesce("before", F.lit(0)) < nbytes)).select("l", "t", "s").collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(head, key=lambda r: (r["s"], r["t"])):
-        if len(samples.setdefault(r["l"], [])) < rows:
-            samples[r["l"]].append(r["t"].encode())
+        samples.setdefault(r["l"], []).append(r["t"].encode()[:row_bytes])
     return fit(samples)
 
 
@@ -213,17 +240,18 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """The frame with lang_pred and score in place of the text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != text]
+    rest = [f for f in docs.schema.fields if f.name not in (text, "lang_pred", "score")]
+    mark = fresh("lettered", docs.columns)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         languages, scores = predict(shared.value, batch.column(text))
-        lettered = batch.column("_lettered").to_pylist()
+        lettered = batch.column(mark).to_pylist()
         languages = [k if ok else UNKNOWN for k, ok in zip(languages, lettered, strict=True)]
         scores = np.where(np.array(lettered, dtype=bool), scores, 0.0)
         columns = [batch.column(f.name) for f in rest] + [pa.array(languages, pa.string()), pa.array(scores)]
         return pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), "lang_pred", "score"])
 
-    lettered = docs.withColumn("_lettered", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    lettered = docs.withColumn(mark, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["lang_pred string, score double"])
     return map_batches(lettered, run, kinds, text)
 
