@@ -103,8 +103,67 @@ def test_packed_and_plain_records_in_one_archive():
     assert [i for i, _, _, _ in got] == [0, *range(2, 8)] and len(gaps) == 1
 
 
+class Counted:
+    """A source that counts the bytes read from it."""
+
+    def __init__(self, raw, seekable=True):
+        self.inner, self.taken, self.can = pa.BufferReader(raw), 0, seekable
+
+    def read(self, n):
+        got = self.inner.read(n)
+        self.taken += len(got)
+        return got
+
+    def seekable(self):
+        return self.can
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+
+@pytest.mark.parametrize("seekable", [True, False])
+def test_a_damaged_length_buffers_nothing(seekable, monkeypatch):
+    monkeypatch.setattr(W, "READ", 4096)
+    rows = pages(300)
+    parts = [W.record(*r) for r in rows]
+    raw = parts[0].replace(b"Content-Length: ", b"Content-Length: 3", 2).replace(b"X-Header-CRC32", b"X-Was-Checksum") + b"".join(parts[1:])
+    source = Counted(raw, seekable)
+    salvage = iter(W.Salvage(source))
+    first = next(salvage)
+    assert first.headers["x-page-id"] == "1"
+    assert not seekable or source.taken < 20 * W.READ
+    assert [r.headers["x-page-id"] for r in salvage] == [str(k) for k in range(2, 300)]
+
+
+def test_records_and_headers_of_any_size():
+    long = "http://h/" + "x" * (2 << 20)
+    for pack in (W.packed, bytes):
+        raw = pack(W.record(1, long, b"a")) + pack(W.record(2, "u", b"z" * (3 << 20))) + pack(W.record(3, "v", b""))
+        salvage = W.Salvage(pa.BufferReader(raw))
+        assert [(r.headers["x-page-id"], len(r.payload)) for r in salvage] == [("1", 1), ("2", 3 << 20), ("3", 0)] and not salvage.gaps
+
+
+def test_damage_in_a_block_is_caught():
+    plain = W.record(1, "u", b"abc").replace(b"200 OK", b"201 OK")
+    got, gaps = read_all(plain + W.record(2, "u", b"x"))
+    assert [i for i, _, _, _ in got] == [2] and gaps[0].reason == "digest of the block differs"
+
+
+def test_revisits_say_whom_they_refer_to():
+    response, revisit = W.record(9, "http://a/", b"abc"), W.record(2, "http://b/", b"abc", 9, True, "http://a/")
+    told = [r.headers for r in W.Salvage(pa.BufferReader(response + revisit))]
+    assert told[1]["warc-refers-to"] == told[0]["warc-record-id"]
+    assert told[1]["warc-refers-to-target-uri"] == "http://a/" and told[1]["warc-refers-to-date"] == told[0]["warc-date"]
+
+
+def test_damage_in_plain_headers_is_caught():
+    raw = W.record(1, "u", b"abc").replace(b"X-Page-ID: 1", b"X-Page-ID: 7")
+    got, gaps = read_all(raw + W.record(2, "u", b"x"))
+    assert [i for i, _, _, _ in got] == [2] and gaps[0].reason == "the headers' checksum differs"
+
+
 def test_a_wrong_digest_is_caught():
-    raw = W.record(1, "u", b"payload").replace(b"payload", b"paYload")
+    raw = W.record(1, "u", b"payload").replace(b"payload", b"paYload").replace(b"WARC-Block-Digest", b"X-Was-Digest").replace(b"X-Header-CRC32", b"X-Was-Checksum")
     got, gaps = read_all(W.packed(raw) + W.packed(W.record(2, "u", b"x")))
     assert [i for i, _, _, _ in got] == [2] and gaps[0].reason == "digest differs"
 
@@ -128,6 +187,7 @@ def want(rows, least=0):
 @pytest.mark.parametrize("broadcast", [0, 1 << 20])
 def test_frames(spark, tmp_path, least, broadcast, monkeypatch):
     monkeypatch.setattr(W, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(W, "HOT_PAYLOADS", 1)
     rows = [(1, "<a>"), (2, "<a>"), (2, "<a>"), (3, None), (4, ""), (5, "é long page" * 20_000), (None, "<a>"), (None, "solo")] + [(k, "hot copy") for k in range(100, 160)]
     frame = spark.createDataFrame([(i, f"http://x/{i}\r\nX: y z", h, "s") for i, h in rows], "page_id long, url string, html string, sha string").repartition(3)
     files, _ = written(W.write(frame, f"file://{tmp_path}/w", least, archive_bytes=700), "t")
@@ -135,6 +195,9 @@ def test_frames(spark, tmp_path, least, broadcast, monkeypatch):
     got = W.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got), key=str) == want(rows, least)
     assert W.read(files, gaps=True).count() == 0
+    classes = sorted((str(r["page_id"]), bytes(r["payload"]), r["response_id"], str(r["response_url"])) for r in W.classified(frame, least, broadcast).collect())
+    assert classes == sorted((str(r["page_id"]), bytes(r["payload"]), r["response_id"], str(r["response_url"])) for r in W.classified(frame, least, 1 << 30).collect())
+    assert {r["response_url"] for r in W.classified(frame, 0, broadcast).filter("page_id = 100").collect()} == {"http://x/159\r\nX: y z"}
     path = files.first()["path"].removeprefix("file://")
     raw = bytearray(open(path, "rb").read())
     raw[12] ^= 255

@@ -35,7 +35,7 @@ def new_file(uri: str) -> Iterator[pa.NativeFile]:
     store, path = place(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     try:
-        with store.open_output_stream(path) as out:
+        with store.open_output_stream(path, compression=None) as out:
             yield out
     except BaseException:
         with suppress(OSError):

@@ -5,27 +5,34 @@ page_id is the response and the others are revisits of it.  Records are gzip
 members of their own, in archives of bounded size.
 
 The reader checks each record: the member's checksum, the version line, the
-header, the length, the end and the payload's digest.  After a failed check it
+headers and their checksum where they have one, the length, the end and the
+digests of block and payload.  That a
+record ends where its length says is looked up at that place before what lies
+between is read, so a damaged length costs no memory.  After a failed check it
 searches, to the end of the archive if need be, for the next gzip member that
 begins a record or the next version line, whichever comes first, goes on from
-there, and logs the bytes passed over.  Whether a record is packed is told at
+there, and logs the bytes passed over as a row of the same frame as the
+records.  Whether a record is packed is told at
 its place, so what is damaged elsewhere has no say in it.  A record that is
 quoted whole within a damaged one counts as a record.
 
 Null html counts as empty.  Rows tied for the largest page_id are all
 responses; a null page_id is below all others, and if a payload has no other
 they are all responses.  An empty table writes no archives and gives no rows;
-other columns are ignored.  A record is held in memory, an archive is not.
+other columns are ignored, whatever their names.  A record is held in memory,
+whatever its size, an archive is not.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -33,8 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import broadcast_if_small, folder_bytes, new_folder, shuffle_partitions, tables, written
-from tidelog.llm.storage import new_file, reader
+from tidelog.llm.common import new_folder, shuffle_partitions, tables, written
+from tidelog.llm.storage import new_file, own_name, reader
 from tidelog.llm.wordhash import text_chunks
 
 VERSION = b"WARC/1.1"
@@ -44,8 +51,10 @@ ARCHIVE_BYTES = 64 << 20
 REVISIT_FROM = 0
 BROADCAST_BYTES = 16 << 20
 READ = 1 << 18
-#: A record larger than this, unpacked, counts as broken.
-MAX_RECORD = 1 << 30
+#: Payloads looked up by broadcast however large the table of payloads is: those of most pages.
+HOT_PAYLOADS = 1000
+#: The last header of a record written here: the crc32 of all lines before it.
+HEAD_CHECK = "X-Header-CRC32"
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
@@ -65,7 +74,11 @@ def _safe(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
+def _sha1(data) -> str:
+    return f"sha1:{digest(data)}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, refers_to_url: str | None = None) -> bytes:
     """A whole record, uncompressed."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
@@ -75,7 +88,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Record-ID: {record_id(page_id, url or '')}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_safe(url)}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Block-Digest: {_sha1(block)}",
+        f"WARC-Payload-Digest: {_sha1(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
         f"X-Payload-Length: {len(payload)}",
@@ -83,8 +97,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
-    return "\r\n".join(lines).encode() + END + block + END
+        lines += [
+            f"WARC-Profile: {REVISIT_PROFILE}",
+            f"WARC-Refers-To: {record_id(refers_to, refers_to_url or '')}",
+            f"WARC-Refers-To-Target-URI: {_safe(refers_to_url)}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"X-Refers-To-Page-ID: {refers_to}",
+        ]
+    head = "\r\n".join([*lines, ""]).encode()
+    return head + f"{HEAD_CHECK}: {zlib.crc32(head):08x}".encode() + END + block + END
 
 
 def packed(raw: bytes, level: int = 4) -> bytes:
@@ -115,37 +136,44 @@ class Gap:
     reason: str
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, payload, bytes used) of the record that raw begins with; Broken, or EOFError if raw is too short."""
-    line = raw.find(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.\d+", raw[:line] if line >= 0 else raw[:10].rstrip(b"\r")) and len(raw) >= 10:
+def _head(line: Callable[[int], tuple[bytes, int]]) -> tuple[dict[str, str], int, int]:
+    """(headers, first byte of the block, byte after it), told line by line; a line that can't be one ends it."""
+    first, at = line(0)
+    if not re.fullmatch(rb"WARC/1\.\d+", first):
         raise Broken("no version line")
-    head = raw.find(END)
-    if head < 0:
-        raise EOFError if len(raw) < 1 << 20 else Broken("no end of headers")
-    headers = {}
-    for part in raw[line + 2 : head].split(b"\r\n"):
-        name, colon, value = part.partition(b":")
+    headers, check = {}, zlib.crc32(first + b"\r\n")
+    while True:
+        told, at = line(at)
+        if not told:
+            break
+        name, colon, value = told.partition(b":")
         if not colon:
             raise Broken("a header without a colon")
+        if name.decode("latin-1") == HEAD_CHECK and value.strip() != b"%08x" % check:
+            raise Broken("the headers' checksum differs")
+        check = zlib.crc32(told + b"\r\n", check)
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not re.fullmatch(r"\d{1,12}", headers.get("content-length", "")):
+    length = headers.get("content-length", "")
+    if not re.fullmatch(r"[0-9]{1,18}", length):
         raise Broken("no content length")
-    start = head + len(END)
-    end = start + int(headers["content-length"])
-    if end > MAX_RECORD:
-        raise Broken("too long")
-    if len(raw) < end + len(END):
-        raise EOFError
-    if raw[end : end + len(END)] != END:
-        raise Broken("no end of record")
-    block = raw[start:end]
-    http = block.find(END)
-    payload = block[http + len(END) :] if headers.get("content-type", "").startswith("application/http") and http >= 0 else block
+    return headers, at, at + int(length)
+
+
+def _payload(headers: dict[str, str], raw: bytes | bytearray, start: int, end: int) -> bytes:
+    """The payload of the block from start to end, its digests being checked."""
+    with memoryview(raw) as view:
+        block = view[start:end]
+        told = headers.get("warc-block-digest", "")
+        if told.startswith("sha1:") and told != _sha1(block):
+            block.release()
+            raise Broken("digest of the block differs")
+        http = raw.find(END, start, end) if headers.get("content-type", "").startswith("application/http") else -1
+        payload = bytes(view[http + len(END) : end] if http >= 0 else block)
+        block.release()
     told = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and told.startswith("sha1:") and told[5:] != digest(payload):
+    if headers.get("warc-type") == "response" and told.startswith("sha1:") and told != _sha1(payload):
         raise Broken("digest differs")
-    return headers, payload, end + len(END)
+    return payload
 
 
 @dataclass
@@ -180,9 +208,9 @@ class Salvage:
             yield Record(self.base, used, headers, payload)
             self._drop(used)
 
-    def _unpacked(self, at: int, most: int | None = None) -> tuple[bytes, int]:
-        """The member at a place in the buffer, or its first bytes, and where it ends in the buffer."""
-        unzip, out, size = zlib.decompressobj(31), [], 0
+    def _pieces(self, at: int) -> Iterator[tuple[bytes, int]]:
+        """What the member at a place in the buffer unpacks to, and where it ends in the buffer as far as is known."""
+        unzip = zlib.decompressobj(31)
         while not unzip.eof:
             if at == len(self.buffer) and not self._more():
                 raise Broken("cut short")
@@ -190,48 +218,84 @@ class Salvage:
             at += len(chunk)
             try:
                 while True:
-                    out.append(unzip.decompress(chunk, READ))
-                    size += len(out[-1])
+                    out = unzip.decompress(chunk, READ)
                     chunk = unzip.unconsumed_tail
-                    if size > MAX_RECORD:
-                        raise Broken("too long")
-                    if most and size >= most:
-                        return b"".join(out), at
-                    if unzip.eof or not (chunk or len(out[-1]) == READ):
+                    yield out, at - len(unzip.unused_data)
+                    if unzip.eof or not (chunk or len(out) == READ):
                         break
             except zlib.error as why:
                 raise Broken("damaged member") from why
-        return b"".join(out), at - len(unzip.unused_data)
 
     def _member(self) -> tuple[int, dict[str, str], bytes]:
-        raw, end = self._unpacked(0)
-        try:
-            headers, payload, used = parse(raw)
-        except EOFError as why:
-            raise Broken("cut short") from why
-        if used != len(raw):
-            raise Broken("more than a record")
-        return end, headers, payload
+        raw, used, told = bytearray(), 0, None
+
+        def line(at: int) -> tuple[bytes, int]:
+            end = raw.find(b"\r\n", at)
+            if end < 0:
+                raise EOFError
+            return bytes(raw[at:end]), end + 2
+
+        for out, used in self._pieces(0):
+            raw += out
+            if told is None:
+                with suppress(EOFError):
+                    told = _head(line)
+            if told and len(raw) > told[2] + len(END):
+                raise Broken("more than a record")
+        if not told or len(raw) < told[2] + len(END):
+            raise Broken("cut short")
+        headers, start, end = told
+        if raw[end:] != END:
+            raise Broken("no end of record")
+        return used, headers, _payload(headers, raw, start, end)
+
+    def _line(self, at: int) -> tuple[bytes, int]:
+        """The line at a place in the buffer, and the place after it; what has no line end soon must at least begin as a record."""
+        seen = at
+        while (end := self.buffer.find(b"\r\n", seen)) < 0:
+            if at == 0 and len(self.buffer) > 64:
+                raise Broken("no version line")
+            seen = max(at, len(self.buffer) - 1)
+            if not self._more():
+                raise Broken("cut short")
+        return bytes(self.buffer[at:end]), end + 2
+
+    def _at(self, place: int, n: int) -> bytes:
+        """n bytes at a place counted from the buffer's start, read from there alone if they are further on."""
+        if place + n <= len(self.buffer):
+            return bytes(self.buffer[place : place + n])
+        if not self.source.seekable():
+            while len(self.buffer) < place + n and self._more():
+                pass
+            return bytes(self.buffer[place : place + n])
+        here = self.source.tell()
+        if self.base + place + n > self.source.size():
+            return b""
+        self.source.seek(self.base + place)
+        found = self.source.read(n)
+        self.source.seek(here)
+        return found
 
     def _plain(self) -> tuple[int, dict[str, str], bytes]:
-        while True:
-            try:
-                headers, payload, used = parse(bytes(self.buffer))
-                return used, headers, payload
-            except EOFError as why:
-                need = max(READ, len(self.buffer))
-                have = len(self.buffer)
-                while len(self.buffer) < have + need and self._more():
-                    pass
-                if len(self.buffer) == have:
-                    raise Broken("cut short") from why
+        headers, start, end = _head(self._line)
+        found = self._at(end, len(END))
+        if found != END:
+            raise Broken("no end of record" if len(found) == len(END) else "cut short")
+        while len(self.buffer) < end + len(END) and self._more():
+            pass
+        return end + len(END), headers, _payload(headers, self.buffer, start, end)
 
     def _begins_record(self, at: int) -> bool:
         """Whether what was found at a place in the buffer is a version line, or a member that begins with one."""
         if not self.buffer.startswith(MEMBER, at):
             return True
         try:
-            return self._unpacked(at, 5)[0][:5] == b"WARC/"
+            begun = b""
+            for out, _ in self._pieces(at):
+                begun += out
+                if len(begun) >= 5:
+                    break
+            return begun[:5] == b"WARC/"
         except Broken:
             return False
 
@@ -260,17 +324,31 @@ class Salvage:
 
 
 def classified(pages: DataFrame, revisit_from: int = REVISIT_FROM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """page_id, url, payload and response_id, the largest page_id with that payload where it may be revisited.
+    """page_id, url, payload, and response_id and response_url of the largest page_id with that payload where it may be revisited.
 
     Payloads that occur once need no join: only those of several pages are
-    looked up, broadcast if their table is small and joined by shuffle if not.
+    looked up.  A small table of them is broadcast.  Of a larger one those of
+    most pages are, and the pages that have them don't take part in the
+    shuffle by payload.
     """
     spark = pages.sparkSession
     own = pages.select("page_id", "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8").alias("payload"))
-    own = own.withColumns({"size": F.octet_length("payload"), "sha": F.sha1("payload")})
-    several = own.filter(F.col("size") >= revisit_from).groupBy("sha", "size").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    several, path = written(several, "warc-payloads")
-    return own.join(broadcast_if_small(several, folder_bytes(spark, path), broadcast_bytes), ["sha", "size"], "left").select("page_id", "url", "payload", "response_id")
+    size, sha = F.octet_length("payload"), F.sha1("payload")
+    own = own.withColumn("key", F.when(size >= revisit_from, F.concat_ws(" ", sha, size.cast("string"))))
+    told = own.filter("key is not null").groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("response"), F.count("*").alias("pages"))
+    several, _ = written(told.filter("pages > 1"), "warc-payloads")
+    several = several.select("key", F.col("response.page_id").alias("response_id"), F.col("response.url").alias("response_url"), "pages")
+    out = ("page_id", "url", "payload", "response_id", "response_url")
+    rows, urls = several.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("response_url")), F.lit(0))).first()
+    if 200 * rows + urls <= broadcast_bytes:
+        return own.join(F.broadcast(several), "key", "left").select(*out)
+    hot = several.orderBy(F.desc("pages")).limit(HOT_PAYLOADS)
+    hot = hot.select("key", F.col("response_id").alias("hot_id"), F.col("response_url").alias("hot_url"))
+    near = own.join(F.broadcast(hot), "key", "left")
+    apart = F.when(F.col("hot_id").isNull() & F.col("key").isNotNull(), F.col("key")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    far = several.select(F.col("key").alias("far_key"), "response_id", "response_url")
+    joined = near.withColumn("far_key", apart).join(far, "far_key", "left")
+    return joined.select("page_id", "url", "payload", F.coalesce("hot_id", "response_id").alias("response_id"), F.when(F.col("hot_id").isNotNull(), F.col("hot_url")).otherwise(F.col("response_url")).alias("response_url"))
 
 
 def is_revisit() -> Column:
@@ -279,17 +357,17 @@ def is_revisit() -> Column:
 
 def write(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the archives; a row an archive: path, records."""
-    rows = classified(pages, revisit_from).withColumn("revisit", is_revisit())
+    rows = classified(pages, revisit_from, BROADCAST_BYTES).withColumn("revisit", is_revisit())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         rows = (r for b in batches for c in text_chunks(b, "payload") for r in c.to_pylist())
         row = next(rows, None)
         while row is not None:
-            uri, size, n = f"{folder}/pages-{part:06d}-{made:04d}.warc.gz", 0, 0
+            uri, size, n = own_name(f"{folder}/pages-{part:06d}-{made:04d}.warc.gz"), 0, 0
             with new_file(uri) as out:
-                while row is not None and size < archive_bytes:
-                    raw = packed(record(row["page_id"], row["url"], row["payload"], row["response_id"], row["revisit"]))
+                while row is not None and (not n or size < archive_bytes):
+                    raw = packed(record(row["page_id"], row["url"], row["payload"], row["response_id"], row["revisit"], row["response_url"]))
                     out.write(raw)
                     size, n = size + len(raw), n + 1
                     row = next(rows, None)
@@ -299,56 +377,79 @@ def write(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM, archi
     return rows.mapInArrow(run, "path string, records bigint")
 
 
-def read(archives: DataFrame, gaps: bool = False) -> DataFrame:
-    """The records of the archives named in column path; with ``gaps`` the bytes passed over instead."""
+_READ = {
+    "page_id": pa.int64(),
+    "payload_bytes": pa.int64(),
+    "payload_digest": pa.string(),
+    "record_type": pa.string(),
+    "refers_to": pa.int64(),
+    "url": pa.string(),
+    "path": pa.string(),
+    "at": pa.int64(),
+    "payload": pa.binary(),
+    "gap_end": pa.int64(),
+    "reason": pa.string(),
+}
+_READ_DDL = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, path string, at bigint, payload binary, gap_end bigint, reason string"
 
-    def records(uri: str) -> Iterator[tuple]:
+
+def salvaged(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of the archives named in column path, and a row for each gap: path, at, gap_end and reason, the rest null.
+
+    Without ``payloads`` those are null, too; they are checked all the same.
+    """
+
+    def rows(uri: str) -> Iterator[tuple]:
         with reader(uri) as source:
-            for r in Salvage(source):
+            salvage, told = Salvage(source), 0
+            for r in salvage:
                 h = r.headers
                 kind, page, to = h.get("warc-type", ""), h.get("x-page-id"), h.get("x-refers-to-page-id")
                 full = int(h["x-payload-length"]) if kind == "revisit" and h.get("x-payload-length", "").isdigit() else len(r.payload)
-                yield (int(page) if page else None, full, h.get("warc-payload-digest", "").removeprefix("sha1:"), kind, int(to) if to and to != "None" else None, h.get("warc-target-uri"), uri, r.at, r.payload)
-
-    def passed(uri: str) -> Iterator[tuple]:
-        with reader(uri) as source:
-            salvage = Salvage(source)
-            for _ in salvage:
-                pass
+                yield (int(page) if page else None, full, h.get("warc-payload-digest", "").removeprefix("sha1:"), kind, int(to) if to and to != "None" else None, h.get("warc-target-uri"), uri, r.at, r.payload if payloads else None, None, None)
             for g in salvage.gaps:
-                yield uri, g.start, g.end, g.reason
-
-    if gaps:
-        names, kinds, each = ["path", "start", "end", "reason"], [pa.string(), pa.int64(), pa.int64(), pa.string()], passed
-        ddl = "path string, start bigint, end bigint, reason string"
-    else:
-        each = records
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "path", "at", "payload"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        ddl = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, path string, at bigint, payload binary"
+                yield (None, None, None, None, None, None, uri, g.start, None, g.end, g.reason)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _READ.values(), strict=True)], names=list(_READ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("path").to_pylist():
-                rows, size = [], 0
-                for row in each(uri):
-                    rows.append(row)
-                    size += len(row[-1])
-                    if size > 4 << 20 or len(rows) == 5000:
-                        yield batch_of(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield batch_of(rows)
+                held, size = [], 0
+                for row in rows(uri):
+                    held.append(row)
+                    size += len(row[8] or b"")
+                    if size > 4 << 20 or len(held) == 5000:
+                        yield batch_of(held)
+                        held, size = [], 0
+                if held:
+                    yield batch_of(held)
+
+    return archives.select("path").repartition(shuffle_partitions(archives.sparkSession)).mapInArrow(run, _READ_DDL)
+
 
-    return archives.select("path").repartition(shuffle_partitions(archives.sparkSession)).mapInArrow(run, ddl)
+def records_of(found: DataFrame) -> DataFrame:
+    return found.filter("gap_end is null").drop("gap_end", "reason")
+
+
+def gaps_of(found: DataFrame) -> DataFrame:
+    """path, start, end and reason of the bytes passed over."""
+    return found.filter("gap_end is not null").select("path", F.col("at").alias("start"), F.col("gap_end").alias("end"), "reason")
+
+
+def read(archives: DataFrame, gaps: bool = False) -> DataFrame:
+    """The records of the archives named in column path; with ``gaps`` the bytes passed over instead."""
+    return gaps_of(salvaged(archives, False)) if gaps else records_of(salvaged(archives))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives, _ = written(write(tables(spark, sf_dir, "pages"), new_folder(spark, "warc")), "warc-archives")
-    return read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found, _ = written(salvaged(archives, False).drop("payload"), "warc-records")
+    lost = gaps_of(found).agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first()
+    if lost[0]:
+        logging.getLogger(__name__).warning("%d gaps of %d bytes in the archives", *lost)
+    return records_of(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def base32_sql(hex_digest: str) -> str:
