@@ -373,25 +373,34 @@ def _strings(doc: np.ndarray, place: np.ndarray, windows: np.ndarray, raw: bytes
     return _pack([(doc, "<i8"), (place, "<u4"), (windows, "<u4")]) + raw
 
 
+def _cut_out(raw, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Pieces of a buffer, one after another."""
+    with memoryview(raw) as view:
+        return b"".join([view[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+
+
 def _in_corpus_order(blocks: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first window, windows) of the strings of some blocks, by corpus place, and their bytes in that order."""
     heads = [_unpack(data, n, _STRINGS) for n, data in blocks]
     doc, place, windows = (np.concatenate(c) for c in zip(*heads, strict=True))
-    raw = np.concatenate([np.frombuffer(data, np.uint8, offset=16 * n) for n, data in blocks])
-    size = windows.astype(np.int64) + length - 1
-    at = np.cumsum(size) - size
+    raw = b"".join([memoryview(data)[16 * n :] for n, data in blocks])
+    windows = windows.astype(np.int64)
+    ends = np.cumsum(windows + length - 1)
     order = np.lexsort((place, doc))
-    size = size[order]
-    raw = raw[np.repeat(at[order] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    return doc[order], place[order], windows[order].astype(np.int64), raw
+    raw = _cut_out(raw, (ends - windows - length + 1)[order], ends[order])
+    return doc[order], place[order], windows[order], np.frombuffer(raw, np.uint8)
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
     """The rank of each key among the distinct ones."""
     order = np.argsort(key)
     ranked = key[order]
-    rank = np.empty(len(key), dtype=np.int64)
-    rank[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))
+    new = np.empty(len(key), dtype=bool)
+    new[0] = False
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    del ranked
+    rank = np.empty(len(key), dtype=np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
     return rank
 
 
@@ -401,12 +410,16 @@ def suffix_ranks(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
     n = len(raw) - depth + 1
     key = np.zeros(n, dtype=np.uint64)
     for k in range(depth):
-        key = (key << np.uint64(8)) | raw[k : k + n]
+        key <<= np.uint64(8)
+        key |= raw[k : k + n]
     rank = _dense(key)
     while depth < length:
         step = min(depth, length - depth)
         n = len(rank) - step
-        rank = _dense(rank[:n] * (int(rank.max()) + 1) + rank[step:])
+        key = rank[:n].astype(np.int64)
+        key *= int(rank.max()) + 1
+        key += rank[step:]
+        rank = _dense(key)
         depth += step
     return rank
 
@@ -438,8 +451,8 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
         ranked = part[order]
         first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         ends = np.append(first[1:], len(ranked))
+        raw = _cut_out(raw, at[order], (at + size)[order])
         doc, place, count, size = doc[order], place[order], count[order], size[order]
-        raw = raw[np.repeat(at[order] - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
         bounds = np.concatenate([[0], np.cumsum(size)])
         data = [_strings(doc[i:j], place[i:j], count[i:j], raw[bounds[i] : bounds[j]]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
         return _batch(part=ranked[first], n=ends - first, data=data)
@@ -457,8 +470,8 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
         raw = np.concatenate([h[5] for h in held])
         order = np.lexsort((place, doc))
         size = count + length - 1
-        at = np.cumsum(size) - size
-        raw = raw[np.repeat(at[order] - np.cumsum(size[order]) + size[order], size[order]) + np.arange(size.sum())]
+        ends = np.cumsum(size)
+        raw = np.frombuffer(_cut_out(raw, (ends - size)[order], ends[order]), np.uint8)
         doc, place, count, trigger, strings, size = (c[order] for c in (doc, place, count, trigger, strings, size))
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(np.cumsum(size) - size, count) + inner
@@ -476,8 +489,7 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
             yield blocks(dealt(trigger[own], (mark >> np.uint64(20)) % pieces[own].astype(np.uint64)), doc[own], place[own], one[own], views[start[own]].ravel())
 
     def of_text(raw: np.ndarray, doc: int, a: np.ndarray, b: np.ndarray, trigger: np.ndarray, strings: np.ndarray) -> tuple:
-        size = b + length - 1
-        return np.full(len(a), doc), a, b, trigger, strings, raw[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        return np.full(len(a), doc), a, b, trigger, strings, np.frombuffer(_cut_out(raw, a, a + b + length - 1), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[tuple]] = {True: [], False: []}
@@ -499,7 +511,7 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
                             found = of_text(raw[offsets[r] : offsets[r + 1]], doc, a[piece], b[piece], trigger[piece], strings[piece])
                             held[split].append(found)
                             n[split] += len(found[5])
-                            if n[split] >= 8 * COMBINE:
+                            if n[split] >= 4 * COMBINE:
                                 yield from passed_on[split](held[split])
                                 held[split], n[split] = [], 0
         for split in (False, True):
@@ -565,7 +577,7 @@ def numbered(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
 def repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """For each numbered document that loses bytes: doc and spans, an array of (a, b)."""
-    parts = 4 * shuffle_partitions(docs.sparkSession)
+    parts = 16 * shuffle_partitions(docs.sparkSession)
     found, _ = written(dictionary(parse(docs, parts, length), parts, length), "dictionary")
     todo = found.filter("triggers is not null").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "triggers", "strings")).alias("phrases"))
     todo, _ = written(todo, "dictionary-phrases")
