@@ -9,26 +9,37 @@ from tidelog.llm import bpe, pii, quality_rules
 SF = "/root/testdata/sf0.001"
 
 
+def counted(text):
+    """The rules' counts by plain code."""
+    n, chars, symbols, dup, repeat = test_quality_rules.brute(text)
+    text = text or ""
+    upper = sum("A" <= c <= "Z" for c in text)
+    return {
+        "n_words": n,
+        "word_chars": chars,
+        "n_symbols": symbols,
+        "n_dup_lines": dup,
+        "n_repeat_words": repeat,
+        "n_lines": sum(bool(test_quality_rules.WORD.search(line)) for line in text.split("\n")),
+        "n_upper": upper,
+        "n_letters": upper + sum("a" <= c <= "z" for c in text),
+        "n_shouts": text.count("!"),
+        "n_stops": text.count("."),
+    }
+
+
 def judged(rows):
     """The quality stage by plain code: counts and votes row by row, the label model from all of them."""
-    import pyarrow as pa
-
-    found = quality_rules.text_counts(pa.array([r["text"] for r in rows], pa.string()))
-    counts = [{k: int(v[i]) for k, v in found.items()} for i in range(len(rows))]
-    for c, r in zip(counts, rows):
-        assert tuple(c[k] for k in quality_rules.COUNTS[:5]) == test_quality_rules.brute(r["text"])
+    counts = [counted(r["text"]) for r in rows]
 
     def vote(rule, c):
         return rule.says if all(c[b] and lo <= c[t] / c[b] <= hi for t, b, lo, hi in rule.tests) else 0
 
-    votes = [[vote(rule, c) for rule in quality_rules.RULES] for c in counts]
-    patterns = {}
-    for v in votes:
-        code = sum((x + 1) * 3**k for k, x in enumerate(v))
-        patterns[code] = patterns.get(code, 0) + 1
-    model = quality_rules.fit(patterns, len(quality_rules.RULES))
+    votes = [tuple(vote(rule, c) for rule in quality_rules.RULES) for c in counts]
+    patterns = {v: votes.count(v) for v in set(votes)}
+    good, _ = test_quality_rules.plain_em(patterns, len(quality_rules.RULES))
     passed = [c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"] for c in counts]
-    return [r for r, v, ok in zip(rows, votes, passed) if ok and model.posterior(v) >= 0.5]
+    return [r for r, v, ok in zip(rows, votes, passed) if ok and good[v] >= 0.5]
 
 
 def test_against_brute_force(spark):

@@ -2,12 +2,19 @@
 
 Rules vote good, bad or abstain on each document.  The votes of all documents
 are counted by vote pattern (at most 3 ** rules patterns, whatever the corpus),
-expectation-maximisation over those counts estimates each rule's accuracy, and
-the posterior probability of good replaces an all-must-pass filter.
-
-Null texts have no words and count as empty; rows are judged one by one, so
-repeated rows and null ids need no care, and an empty table gives no rows.
-Columns other than the text are passed through or ignored.
+expectation-maximisation over those counts estimates the share of good
+documents and how often each rule votes which way, or abstains, on good and on
+bad ones, hence its accuracy; and the posterior probability of good replaces
+an all-must-pass filter.  A posterior of a half or more keeps, so a tie keeps:
+where no rule tells the classes apart, say in a table without any vote, every
+posterior is a half.
+
+Null texts have no words and count as empty.  A text is counted whole; its
+words are hashed piece by piece, and of a very long one a few numbers a word
+are held.  Words, lines and windows are told apart by 64-bit hashes within
+their text.  Rows are judged one by one, so repeated rows and null ids need no
+care, and an empty table gives no rows.  Columns other than the text are passed
+through or ignored; the counts have names that no column has.
 """
 
 from __future__ import annotations
@@ -154,45 +161,70 @@ def votes_of(code: int, rules: int) -> list[int]:
 
 @dataclass
 class LabelModel:
-    """accuracy: for each rule the chance that its vote is right; balance: the share of good documents before any vote."""
+    """balance: the share of good documents.  rates[j]: of rule j the chances of a bad vote, none and a good one, on bad and on good documents."""
+
+    balance: float
+    rates: list[tuple[tuple[float, float, float], tuple[float, float, float]]]
 
-    accuracy: list[float]
-    balance: float = 0.5
+    @property
+    def accuracy(self) -> list[float]:
+        """Of each rule the chance that its vote is right."""
+        out = []
+        for bad, good in self.rates:
+            right = (1 - self.balance) * bad[0] + self.balance * good[2]
+            out.append(right / (right + (1 - self.balance) * bad[2] + self.balance * good[0]))
+        return out
 
-    def weight(self, j: int) -> float:
-        """What a good vote of rule j adds to the log odds of good; a bad vote takes it away."""
-        return math.log(self.accuracy[j]) - math.log(1 - self.accuracy[j])
+    def weight(self, j: int, vote: int) -> float:
+        """What that vote of rule j, or its abstaining, adds to the log odds of good."""
+        bad, good = self.rates[j]
+        return math.log(good[vote + 1]) - math.log(bad[vote + 1])
 
     def posterior(self, votes: list[int]) -> float:
-        odds = math.log(self.balance) - math.log(1 - self.balance) + sum(v * self.weight(j) for j, v in enumerate(votes))
-        return 1 / (1 + math.exp(-odds))
+        odds = math.log(self.balance) - math.log(1 - self.balance) + sum(self.weight(j, v) for j, v in enumerate(votes))
+        return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
+
+
+#: The least chance that a fitted rate may have.
+LEAST = 1e-4
 
 
 def fit(counts: dict[int, int], rules: int, rounds: int = 500, trust: float = 0.85, belief: float = 0.1) -> LabelModel:
     """Expectation-maximisation over vote-pattern counts; alike at every corpus size.
 
-    Each rule has one accuracy, whichever it votes, and abstains as often on
-    good as on bad documents.  ``trust`` is the start, and ``belief`` the
-    weight of that start against a rule's own votes, so that rules which never
-    meet another keep it.
+    It starts from an even balance and rules of accuracy ``trust`` that abstain
+    equally often on both classes.  ``belief`` is the weight of that start
+    against what the votes say, so that rules which never meet another keep
+    near it.
     """
-    model = LabelModel([trust] * rules)
     codes = sorted(counts)
-    votes = np.array([votes_of(c, rules) for c in codes]).reshape(len(codes), rules)
+    votes = np.array([votes_of(c, rules) for c in codes], dtype=np.int64).reshape(len(codes), rules)
     weight = np.array([counts[c] for c in codes], dtype=float)
-    for _ in range(rounds):
-        good = np.array([model.posterior(list(v)) for v in votes])
-        accuracy = []
-        for j in range(rules):
-            right = float((weight * np.where(votes[:, j] == 1, good, np.where(votes[:, j] == -1, 1 - good, 0))).sum())
-            cast = float(weight[votes[:, j] != 0].sum())
-            own = right / cast if cast else trust
-            accuracy.append(min(0.999, max(0.001, (1 - belief) * own + belief * trust)))
-        moved = max((abs(a - b) for a, b in zip(accuracy, model.accuracy, strict=True)), default=0.0)
-        model = LabelModel(accuracy)
+    total = max(weight.sum(), 1.0)
+    cast = np.stack([(weight[:, None] * (votes == v)).sum(axis=0) / total for v in (-1, 0, 1)], axis=1)  # rule, vote
+    start = np.empty((rules, 2, 3))
+    for label, right in ((0, 0), (1, 2)):
+        start[:, label, right] = np.minimum(2 * trust * cast[:, right], 0.99)
+        start[:, label, 2 - right] = np.minimum(2 * (1 - trust) * cast[:, 2 - right], 0.99)
+        start[:, label, 1] = np.maximum(LEAST, 1 - start[:, label, 0] - start[:, label, 2])
+    start = np.maximum(start, LEAST)
+    start /= start.sum(axis=2, keepdims=True)
+    rates, balance = start, 0.5
+    for _ in range(rounds if len(codes) else 0):
+        chosen = np.log(rates)[np.arange(rules)[None, :, None], np.arange(2)[None, None, :], votes[:, :, None] + 1].sum(axis=1)
+        good = 1 / (1 + np.exp(np.clip(chosen[:, 0] - chosen[:, 1] + math.log(1 - balance) - math.log(balance), -700, 700)))
+        share = np.stack([weight * (1 - good), weight * good])  # label, pattern
+        seen = np.stack([share @ (votes == v) for v in (-1, 0, 1)], axis=2).transpose(1, 0, 2)  # rule, label, vote
+        mass = share.sum(axis=1)
+        now = np.where(mass[None, :, None] > 0, seen / np.maximum(mass, 1e-300)[None, :, None], start)
+        now = np.maximum((1 - belief) * now + belief * start, LEAST)
+        now /= now.sum(axis=2, keepdims=True)
+        balance = (1 - belief) * mass[1] / total + belief * 0.5
+        moved = np.abs(now - rates).max(initial=0.0)
+        rates = now
         if moved < 1e-10:
             break
-    return model
+    return LabelModel(float(balance), [tuple(tuple(r) for r in rule) for rule in rates.tolist()])
 
 
 def fit_votes(counted: DataFrame, rules: tuple[Rule, ...] = RULES, prefix: str = "") -> LabelModel:
@@ -205,7 +237,8 @@ def posterior(model: LabelModel, rules: tuple[Rule, ...] = RULES, prefix: str =
     """Posterior probability of good, from the votes, within generated code."""
     odds = F.lit(math.log(model.balance) - math.log(1 - model.balance))
     for j, rule in enumerate(rules):
-        odds = odds + rule.vote(prefix) * F.lit(model.weight(j))
+        said = rule.vote(prefix) == rule.says
+        odds = odds + F.when(said, model.weight(j, rule.says)).otherwise(model.weight(j, 0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
@@ -217,9 +250,12 @@ def judge(counted: DataFrame, rules: tuple[Rule, ...] = RULES, prefix: str = "")
 
 
 def keep_good(docs: DataFrame, column: str = "text") -> DataFrame:
-    """The documents that pass, all columns as they were."""
+    """The documents that pass, all columns as they were.  Each text is counted once, the rows being written with their counts."""
     prefix = "_quality_"
-    return judge(with_counts(docs, column, prefix), prefix=prefix).filter(F.col(f"{prefix}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    counted, _ = written(with_counts(docs, column, prefix), "quality-counts")
+    return judge(counted, prefix=prefix).filter(F.col(f"{prefix}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
