@@ -95,8 +95,7 @@ class Encoder:
 
     def __init__(self, tokenizer, split=None, usual: bool = False):
         self.tokenizer, self.split, self.usual = tokenizer, split, usual
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         back = character_bytes()
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         names = [tokenizer.id_to_token(k) or "" for k in range(size)]
@@ -129,7 +128,7 @@ class Encoder:
 
     def pretokens(self, text: str) -> list[str] | None:
         """The text's pretokens, or None if the tokenizer must split it."""
-        if self.added and self.added.search(text):
+        if any(a in text for a in self.added):
             return None
         if self.usual and _ODD.search(text) is None:
             return _PLAIN.findall(text)
