@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -20,13 +21,20 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
+def words(text):
+    return WORD.findall(lower(text or ""))
+
+
 def brute(docs, items, percent=80):
     out = []
     for i, d in docs:
-        s = shingles(d)
+        s, own = shingles(d), words(d)
         for j, t in items:
-            q = shingles(t)
-            if q and 100 * len(q & s) >= percent * len(q):
+            q, run = shingles(t), words(t)
+            if 0 < len(run) < 5:
+                if any(own[k : k + len(run)] == run for k in range(len(own) - len(run) + 1)):
+                    out.append((i, j, 1, 1))
+            elif q and 100 * len(q & s) >= percent * len(q):
                 out.append((i, j, len(q), len(q & s)))
     return sorted(out, key=str)
 
@@ -59,7 +67,7 @@ def test_tables(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     want = brute([r[:2] for r in docs], items)
     assert rows(D.leaks(d, b)) == want
-    assert rows(D.leaks(d, b, limit=40)) == want  # many blocks
+    assert rows(D.leaks(d, b, limit=40)) == want  # by shuffles
     for limit in (D.BLOCK_BYTES, 40):
         kept = D.drop_leaks(d, b, limit=limit)
         assert kept.columns == d.columns
@@ -68,6 +76,31 @@ def test_tables(spark):
     assert D.leaks(d, b.limit(0)).count() == 0 and D.drop_leaks(d, b.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("limit", [D.BLOCK_BYTES, 0])
+def test_items_of_every_length(spark, limit):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(n * 10 + k, " ".join(rng.choices(vocabulary, k=n))) for n in (1, 2, 3, 4, 5, 6, 9, 40) for k in range(4)]
+    texts = []
+    for _ in range(60):
+        parts = rng.choices(vocabulary, k=rng.randint(0, 60))
+        if rng.random() < 0.6:
+            own = rng.choice(items)[1].split()
+            if rng.random() < 0.4 and len(own) > 8:
+                own[rng.randrange(len(own))] = "odd"
+            at = rng.randint(0, len(parts))
+            parts[at:at] = own
+        texts.append(" ".join(parts).title())
+    docs = list(enumerate(texts)) + [(100, "The quick brown fox"), (101, "see the quick\n brown FOX jump")]
+    items.append((900, "the quick brown fox"))
+    want = brute(docs, items)
+    assert {10, 20, 30, 40, 900} <= {j // 10 * 10 if j < 900 else j for _, j, _, _ in want}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert rows(D.leaks(d, b, limit=limit)) == want
+    assert sorted(r["doc_id"] for r in D.drop_leaks(d, b, limit=limit).collect()) == sorted({i for i, _ in docs} - {r[0] for r in want})
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,11 +101,11 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+def named_rows(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """The frame and its column of unique names: the ids, or where they are null or occur twice numbers of rows in the order of ids."""
+    n, named, different = docs.agg(F.count("*"), F.count(doc), F.count_distinct(doc)).first()
+    if n == named == different:
+        return docs, doc
+    row = fresh("row", docs.columns)
+    in_order = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), doc, F.xxhash64(text)).sortWithinPartitions(doc)
+    return written(in_order.withColumn(row, F.monotonically_increasing_id()), "numbered")[0], row

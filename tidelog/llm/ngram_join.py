@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import wordhash as W
-from tidelog.llm.common import broadcast_if_small, folder_bytes, shuffle_partitions, tables, written
+from tidelog.llm.common import broadcast_if_small, folder_bytes, fresh, named_rows, shuffle_partitions, tables, written
 from tidelog.llm.graph import components
 from tidelog.llm.skip_join import Group, Index, linked
 
@@ -419,15 +419,6 @@ def similar(docs: DataFrame, percent: int = PERCENT, group_tokens: int = GROUP_T
     return out.select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
 
 
-def named_rows(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
-    """The frame and its column of unique names: the ids, or where they are null or occur twice numbers of rows in the order of ids."""
-    n, named, different = docs.agg(F.count("*"), F.count(doc), F.count_distinct(doc)).first()
-    if n == named == different:
-        return docs, doc
-    in_order = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), doc, F.xxhash64(text)).sortWithinPartitions(doc)
-    return written(in_order.withColumn("_row", F.monotonically_increasing_id()), "numbered")[0], "_row"
-
-
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The id, n_shingles and component_id, the smallest id that links reach, of every row."""
     own, row = named_rows(docs, doc, text)
@@ -443,8 +434,9 @@ def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     """The documents that stay if of each component only the first row by id does; all columns as they were."""
     own, row = named_rows(docs, doc, text)
     found = similar(own.select(F.col(row).alias("doc"), F.col(text).alias("text")))
-    gone, path = written(found.filter("doc <> component").select(F.col("doc").alias("_gone")), "copies")
-    rest = own.join(broadcast_if_small(gone, folder_bytes(docs.sparkSession, path), BROADCAST_BYTES), F.col(row) == F.col("_gone"), "left_anti")
+    copy = fresh("copy", own.columns)
+    gone, path = written(found.filter("doc <> component").select(F.col("doc").alias(copy)), "copies")
+    rest = own.join(broadcast_if_small(gone, folder_bytes(docs.sparkSession, path), BROADCAST_BYTES), F.col(f"`{row}`") == F.col(copy), "left_anti")
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
