@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidelog.llm import graph, ngram_join as J
+from tidelog.llm import common, graph, ngram_join as J
 from tidelog.llm.skip_join import Group
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,18 +136,102 @@ def test_null_and_repeated_ids(spark):
     assert len(kept) == len({c for c in roots(len(rows), similar_pairs([shingles(t) for _, t in rows]))})
 
 
-@pytest.mark.parametrize("band_tokens", [200, 6000])
-def test_large_groups(spark, monkeypatch, band_tokens):
-    """Groups over the bound are cut into bands, and with the small bound bands are joined by passes."""
+@pytest.mark.parametrize("pivots, rounds, block", [(3, 2, 1500), (2, 1, 200), (1, 0, 10**6)])
+def test_large_groups(spark, monkeypatch, pivots, rounds, block):
+    """Groups over the bound: pivots first, then cells of prefix tokens, of one block or of many."""
     rows = list(enumerate(corpus(22, 200)))
     docs = spark.createDataFrame(rows, "doc long, text string").repartition(5)
-    join_large, larger, calls = J.join_large, J._larger_than, []
-    monkeypatch.setattr(J, "join_large", lambda sets, percent: calls.append(1) or join_large(sets, percent, pivots=3, rounds=2, block_tokens=1500))
-    bounds = iter([200, band_tokens])
-    monkeypatch.setattr(J, "_larger_than", lambda sets, tokens: larger(sets, next(bounds)))
-    got = sorted(map(tuple, J.similar(docs).collect()), key=str)
+    join_large, calls = J.join_large, []
+    monkeypatch.setattr(J, "join_large", lambda sets, near, percent: calls.append(1) or join_large(sets, near, percent, pivots=pivots, rounds=rounds, block_tokens=block))
+    monkeypatch.setattr(J, "HOT_KEYS", 2, raising=False)
+    got = sorted(map(tuple, J.similar(docs, group_tokens=200).collect()), key=str)
     assert got == brute(rows)
-    assert bool(calls) == (band_tokens == 200)
+    assert calls
+
+
+def test_known_components_are_kept():
+    sets = as_arrays([s for s in dict.fromkeys(shingles(t) for t in corpus(3)) if s])
+    want = Group(sets).labels()
+    known = [w if k % 3 else -k - 1 for k, w in enumerate(want)]
+    got = Group(sets, known=known).labels()
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+    assert len(set(Group(sets[:2], known=[7, 7]).labels())) == 1
+
+
+@pytest.mark.parametrize("entry", [1, 3, 255])
+def test_sets_of_one_key_stay_apart(spark, monkeypatch, entry):
+    """As where keys of 64 bits clash: the checks tell the sets apart, and no link is lost."""
+    monkeypatch.setattr(J, "ENTRY", entry)
+    keys = J.set_keys
+    monkeypatch.setattr(J, "set_keys", lambda s: (keys(s)[0] % 5 + 1 if len(s) else 0, keys(s)[1]))
+    rows = list(enumerate(corpus(31, 120)))
+    bits, parts = 7, 3
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    batches = docs.toArrow().to_batches()
+    # the kernels as tasks run them, on the driver so that the patches hold
+    seen = {}
+
+    class Frame:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def mapInArrow(self, run, ddl):
+            return Frame(list(run(iter(self.rows))))
+
+        def select(self, *_):
+            return self
+
+        schema, sparkSession = docs.schema, spark
+
+    def by_part(frame):
+        import pyarrow as pa
+
+        table = pa.Table.from_batches([b.select(["kind", "part", "sets", "data"]) for b in frame.rows])
+        return Frame(table.sort_by("part").to_batches())
+
+    monkeypatch.setattr(J, "_by_part", by_part)
+    signed = J.signatures(Frame(batches), bits, parts).rows
+
+    def of(kind):
+        import pyarrow.compute as pc
+
+        return [b for b in (b.filter(pc.equal(b.column("kind"), kind)) for b in signed) if b.num_rows]
+
+    shared = J.shared_tokens(Frame(of(J.TOKENS)), bits, parts)
+    heads = [b.select(["kind", "part", "sets", "data"]) for b in of(J.HEADS)]
+    for batch in J.prefixes(Frame(heads + shared.rows)).rows:
+        for r in batch.to_pylist():
+            seen[r["skey"], r["scheck"]] = set(r["tokens"])
+    sets = {t: s for t, s in ((t, shingles(t)) for _, t in rows) if s}
+    arrays = {t: next(J.W.shingle_sets(__import__("pyarrow").array([t]))) for t in sets}
+    for a in sets:
+        for b in sets:
+            if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                assert seen[J.set_keys(arrays[a])] & seen[J.set_keys(arrays[b])]
+
+
+@pytest.mark.parametrize("hot", [0, 1, 1000])
+def test_look_up(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    rows = [(k % 7 if k % 3 else 4, k % 2, k) for k in range(200)] + [(None, 1, -1)]
+    table = [(a, b, f"v{a}{b}" if a != 2 else None, sum((r[0], r[1]) == (a, b) for r in rows)) for a in (0, 1, 2, 4, 9) for b in (0, 1)]
+    left = spark.createDataFrame(rows, "a long, b int, hot long")
+    right = spark.createDataFrame(table, "a long, b int, v string, n long")
+    got = common.looked_up(left, right, ["a", "b"], ["v"], "n")
+    assert got.columns == ["a", "b", "hot", "v"]
+    known = {(a, b): v for a, b, v, _ in table}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((a, b, k, known.get((a, b))) for a, b, k in rows), key=str)
+
+
+def test_graph_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MANY_EDGES", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    monkeypatch.setattr(graph, "CONTRACT", 16)
+    rng = random.Random(6)
+    edges = [(500, k) for k in range(200)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(250)] + [(3, 700)]
+    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect())
+    root = roots(900, edges)
+    assert got == {x: root[x] for x in {x for e in edges if e[0] != e[1] for x in e}}
 
 
 def test_query(spark):

@@ -71,6 +71,31 @@ def broadcast_if_small(df: DataFrame, nbytes: int, limit: int) -> DataFrame:
     return F.broadcast(df) if nbytes <= limit else df
 
 
+#: Keys of most rows that a look-up broadcasts.
+HOT_KEYS = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], often: str) -> DataFrame:
+    """The rows with ``values`` of the table, which has each of the keys once; null where it has none.
+
+    often: a column of the table, in how many rows a key is.  The HOT_KEYS keys
+    of most rows are broadcast, and rows that have them go to the shuffle under
+    numbers of their own, so that no key, however hot, fills one task.  The
+    first key must be a bigint.
+    """
+    first, *others = keys
+    taken = [*rows.columns, *table.columns]
+    mark, key = fresh("hot", taken), fresh("key", taken)
+    hot_values = {v: fresh(f"hot_{v}", taken) for v in values}
+    hot = table.orderBy(F.desc(often)).limit(HOT_KEYS).select(*keys, *[F.col(v).alias(h) for v, h in hot_values.items()], F.lit(True).alias(mark))
+    near = rows.join(F.broadcast(hot), keys, "left")
+    own = F.xxhash64(F.monotonically_increasing_id())
+    near = near.withColumn(key, F.when(F.col(mark), own).otherwise(F.col(first)))
+    far = table.select(F.col(first).alias(key), *others, *values)
+    found = near.join(far, [key, *others], "left")
+    return found.select(*rows.columns, *[F.when(F.col(mark), F.col(hot_values[v])).otherwise(F.col(v)).alias(v) for v in values])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -58,9 +58,12 @@ def gathered(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 class Group:
-    """Sets to be joined with one another; labels() gives each set's component."""
+    """Sets to be joined with one another; labels() gives each set's component.
 
-    def __init__(self, sets: list[np.ndarray], percent: int = 80):
+    known: for each set a name of the component that it is known to be of, if any.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int = 80, known: list[int] | None = None):
         self.percent = percent
         self.index = Index(sets)
         sizes = self.sizes = self.index.sizes
@@ -83,6 +86,9 @@ class Group:
         self.up = list(range(len(sizes)))
         self.members = [1] * len(sizes)
         self.answers: OrderedDict[int, np.ndarray] = OrderedDict()
+        first: dict[int, int] = {}
+        for x, name in enumerate(known or []):
+            self.unite(first.setdefault(name, x), x)
 
     def root(self, x: int) -> int:
         up = self.up
@@ -157,7 +163,7 @@ class Group:
 
     def labels(self) -> list[int]:
         n = len(self.sizes)
-        if n == 2:
+        if n == 2 and self.root(0) != self.root(1):
             both = len(np.intersect1d(self.tokens(0), self.tokens(1), assume_unique=True))
             if linked(both, self.sizes[0], self.sizes[1], self.percent):
                 self.unite(0, 1)
