@@ -53,6 +53,7 @@ BLOCK_TOKENS = 1_000_000
 PIVOTS = 32
 #: Low tokens that a task holds before it passes blocks on.
 BLOCK_OF_TOKENS = 300_000
+MOST_TOKENS = 4_000_000
 #: Keys of sets that a task remembers, so as not to pass a set on twice.
 SEEN = 1_000_000
 PIVOT_ROUNDS = 4
@@ -89,7 +90,12 @@ def part_bits(spark: SparkSession) -> int:
 
 
 def key_parts(spark: SparkSession) -> int:
-    return 4 * shuffle_partitions(spark)
+    return 2 * shuffle_partitions(spark)
+
+
+def _enough(parts: int) -> int:
+    """Tokens that a task holds before it passes them on by part, so that blocks don't get small where parts are many."""
+    return min(MOST_TOKENS, max(BLOCK_OF_TOKENS, 4 * parts))
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -154,7 +160,7 @@ def signatures(docs: DataFrame, bits: int, parts: int, percent: int = PERCENT) -
                         ranged = int(np.searchsorted(s, np.uint64(top)))
                         held.append((key, check, len(s), ranged, s[: max(ranged, prefix_length(len(s), percent))].copy()))
                         n += len(held[-1][4])
-                        if n >= BLOCK_OF_TOKENS:
+                        if n >= _enough(1 << bits):
                             yield from blocks(held)
                             held, n = [], 0
                 rows = chunk.num_rows
@@ -192,10 +198,13 @@ def shared_tokens(blocks: DataFrame, bits: int, parts: int, percent: int = PERCE
     """Blocks by part of the set keys, of the tokens that several sets hold: keys, how many each has, the tokens and in how many sets each is.
 
     Out of the range tokens are said to be in more sets than any other, so
-    they come last and in order of hash.  A part is held at a time.
+    they come last and in order of hash.  A part is held at a time, and what
+    is passed on is put together over parts.
     """
+    top = int(RANGE * (1 << bits))
 
-    def one(part: int, datas: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+    def one(part: int, datas: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, token and in how many sets it is, of each token of a set that others hold, too."""
         here = [np.frombuffer(data, "<u1", n, 8 * n) for _, n, data in datas]
         key = np.concatenate([np.repeat(np.frombuffer(data, "<i8", n), h) for (_, n, data), h in zip(datas, here, strict=True)])
         token = np.concatenate([np.frombuffer(data, "<u4", offset=9 * n) for _, n, data in datas])
@@ -203,34 +212,44 @@ def shared_tokens(blocks: DataFrame, bits: int, parts: int, percent: int = PERCE
         key, token = key[order], token[order]
         at = _runs(token, key)  # a set may come from several tasks
         key, token = key[at], token[at]
-        at = _runs(token)
-        often = np.diff(np.append(at, len(token)))
+        often = np.diff(np.append(_runs(token), len(token)))
         several = np.repeat(often > 1, often)
-        if not several.any():
-            return None
-        key, token, often = key[several], token[several], np.repeat(often, often)[several]
-        ranged = part < int(RANGE * (1 << bits))
+        names = (np.int64(part) << np.int64(32)) | token[several].astype(np.int64)
+        times = np.minimum(np.repeat(often, often)[several], OUT_OF_RANGE - 1) if part < top else np.full(len(names), OUT_OF_RANGE)
+        return key[several], names, times
+
+    def by_key(kind: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, names, times = (np.concatenate(c) for c in zip(*held, strict=True))
         to = (key.astype(np.uint64) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((key, to))
-        key, token, often, to = key[order], token[order], often[order], to[order]
-        names = (np.int64(part) << np.int64(32)) | token.astype(np.int64)
-        times = np.minimum(often, OUT_OF_RANGE - 1) if ranged else np.full(len(key), OUT_OF_RANGE)
+        key, names, times, to = key[order], names[order], times[order], to[order]
         sets = _runs(to, key)
-        count = np.diff(np.append(sets, len(key)))
+        bounds = np.append(sets, len(key))
+        count = np.diff(bounds)
         at = _runs(to[sets])
         ends = np.append(at[1:], len(sets))
-        bounds = np.append(sets, len(key))
         data = []
         for i, j in zip(at.tolist(), ends.tolist(), strict=True):
             x, y = bounds[i], bounds[j]
             data.append(key[sets[i:j]].astype("<i8").tobytes() + count[i:j].astype("<u4").tobytes() + names[x:y].astype("<i8").tobytes() + times[x:y].astype("<u4").tobytes())
         n = len(at)
-        return pa.RecordBatch.from_arrays([pa.array([IN_RANGE if ranged else OUTSIDE] * n, pa.int32()), pa.array(to[sets[at]], pa.int32()), pa.array(ends - at, pa.int32()), pa.array(data, pa.binary())], names=["kind", "part", "sets", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(to[sets[at]], pa.int32()), pa.array(ends - at, pa.int32()), pa.array(data, pa.binary())], names=["kind", "part", "sets", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {IN_RANGE: [], OUTSIDE: []}
+        size = {IN_RANGE: 0, OUTSIDE: 0}
         for part, datas in _grouped(batches):
-            if (out := one(part, datas)) is not None:
-                yield out
+            found = one(part, datas)
+            kind = IN_RANGE if part < top else OUTSIDE
+            if len(found[0]):
+                held[kind].append(found)
+                size[kind] += len(found[0])
+            if size[kind] >= _enough(parts):
+                yield by_key(kind, held[kind])
+                held[kind], size[kind] = [], 0
+        for kind, rest in held.items():
+            if rest:
+                yield by_key(kind, rest)
 
     return _by_part(blocks).mapInArrow(W.tidy(run), BLOCKS)
 
