@@ -144,3 +144,19 @@ def test_reconstructed_keys(spark):
 def test_events_are_sorted_by_runs_not_in_one_place(spark):
     plan = T.assign_transactions(frame(spark, [rows(1, k) for k in range(50)]), 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(run") >= 1
+
+
+@pytest.mark.parametrize("run, stretch", [(1, 1), (2, 3), (7, 2), (64, 4096)])
+def test_runs_in_stretches(spark, monkeypatch, run, stretch):
+    monkeypatch.setattr(T._placed_runs, "__defaults__", (stretch,))
+    rng = random.Random(run * 31 + stretch)
+    for _ in range(4):
+        while True:
+            events = random_events(rng, 60)
+            try:
+                want = model.transactions(events)
+                break
+            except model.Boundary:
+                continue
+        got = T.transactions(T.assign_transactions(frame(spark, events), run)).orderBy("txn_id").collect()
+        assert [(r["txn_key"], r["start_time"], r["end_time"], r["total_rows"]) for r in got] == [(t["key"], t["start"], t["end"], t["rows"]) for t in want]

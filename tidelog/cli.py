@@ -62,7 +62,7 @@ def main(argv: Sequence[str] | None = None, spark: Callable[[], SparkSession] =
             large_txn_duration=parse_duration(asked.large_trx_duration),
         )
         try:
-            result = analyze_raw(FileSource(asked.files).load(spark()), options)
+            result = analyze_raw(FileSource(asked.files).load(spark()), options, hold=True)
             try:
                 (write_json if asked.json else write_text)(result, out, mode)
             finally:

@@ -6,7 +6,9 @@ nothing; a C that follows a C or nothing closes nothing.  So each event depends
 on the one before it and on how many starts precede it, and both compose over
 runs of events: a run tells its first and last kind and its starts.  Events
 are cut into runs by seq, runs are summed up, the small table of runs is
-scanned in order, and each run is numbered by itself.
+scanned in order, and each run is numbered by itself.  The table of runs is
+scanned in the same way: cut into stretches of runs, which are summed up, so
+that one task orders only a row a stretch.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from tidelog.functions.sql_text import query_summary
 
 #: Width of a run in seq. Choose it so that a run has some hundred thousand events.
 RUN = 1 << 20
+#: Runs in a stretch.
+STRETCH = 1 << 12
 
 B, C, R = 0, 1, 2
 
@@ -40,6 +44,24 @@ def _starts(kind: Column, before: Column) -> Column:
     return (kind == B) | ((kind == R) & (F.coalesce(before, F.lit(C)) == C))
 
 
+def _placed_runs(runs: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """run, the last kind before it, and the starts up to and with its first event.  runs: run, first_kind, last_kind, inner_starts."""
+    within = Window.partitionBy("stretch").orderBy("run")
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("stretch", F.floor(F.col("run") / stretch)).withColumn("last_within", F.lag("last_kind").over(within))
+    first = F.col("last_within").isNull()  # of its stretch, as every run has a last kind
+    runs = runs.withColumn("known_start", F.when(~first, _starts(F.col("first_kind"), F.col("last_within"))).otherwise(False).cast("bigint"))
+    runs = runs.withColumn("known_starts", F.sum(F.col("inner_starts") + F.col("known_start")).over(so_far))
+    summed = runs.groupBy("stretch").agg(F.min_by("first_kind", "run").alias("head"), F.max_by("last_kind", "run").alias("tail"), F.max("known_starts").alias("starts"))
+    in_order = Window.orderBy("stretch")  # a row a stretch, not a row a run
+    summed = summed.withColumn("tail_before", F.lag("tail").over(in_order))
+    summed = summed.withColumn("head_start", _starts(F.col("head"), F.col("tail_before")).cast("bigint"))
+    earlier = F.sum(F.col("starts") + F.col("head_start")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    summed = summed.select("stretch", "tail_before", (F.coalesce(earlier, F.lit(0)) + F.col("head_start")).alias("before"))
+    told = runs.join(summed.hint("merge"), "stretch")
+    return told.select("run", F.coalesce("last_within", "tail_before").alias("last_before"), (F.col("before") + F.col("known_starts") - F.col("inner_starts")).alias("starts_to_first"))
+
+
 def assign_transactions(events: DataFrame, run: int = RUN) -> DataFrame:
     """The events that belong to transactions, with kind and txn_id, from 1 in order of start."""
     own = Window.partitionBy("run").orderBy("seq")
@@ -55,14 +77,10 @@ def assign_transactions(events: DataFrame, run: int = RUN) -> DataFrame:
         F.max_by("kind", "seq").alias("last_kind"),
         F.sum("inner_start").alias("inner_starts"),
     )
-    in_order = Window.orderBy("run")  # a row a run, not a row an event
-    runs = runs.withColumn("last_before", F.lag("last_kind").over(in_order))
-    runs = runs.withColumn("first_start", _starts(F.col("first_kind"), F.col("last_before")).cast("bigint"))
-    earlier = F.sum(F.col("inner_starts") + F.col("first_start")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("starts_to_first", F.coalesce(earlier, F.lit(0)) + F.col("first_start"))
+    runs = _placed_runs(runs)
     counted = marked.withColumn("inner_so_far", F.sum("inner_start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     # A merge join keeps the events where the window over their run has put them.
-    joined = counted.join(runs.select("run", "last_before", "starts_to_first").hint("merge"), "run")
+    joined = counted.join(runs.hint("merge"), "run")
     before = F.when(F.col("place") == 1, F.col("last_before")).otherwise(F.col("before"))
     orphan = (F.col("kind") == C) & (F.coalesce(before, F.lit(C)) == C)
     return joined.filter(~orphan).select(*[f"`{c}`" for c in events.columns], "kind", (F.col("starts_to_first") + F.col("inner_so_far")).alias("txn_id"))
@@ -110,13 +128,18 @@ def transactions(assigned: DataFrame) -> DataFrame:
     )
 
 
-def check_boundaries(txns: DataFrame) -> None:
-    """Raises if an explicit transaction other than the last was never closed.  One small aggregate."""
-    last = F.max("txn_id")
+def boundary_error(txns: DataFrame) -> DataFrame:
+    """A row (number, message) if an explicit transaction other than the last was never closed, for the first such; else none."""
     open_ids = F.when(F.col("explicit") & ~F.col("closed"), F.col("txn_id"))
-    found = txns.agg(last.alias("last"), F.min(open_ids).alias("first_open")).first()
-    if found["first_open"] is not None and found["first_open"] < found["last"]:
-        raise TransactionBoundaryError(found["first_open"])
+    found = txns.agg(F.max("txn_id").alias("last"), F.min(open_ids).alias("number")).filter("number < last")
+    return found.select("number", F.concat(F.lit("BEGIN received while explicit transaction txn-"), F.col("number").cast("string"), F.lit(" is in-flight")).alias("message"))
+
+
+def check_boundaries(txns: DataFrame) -> None:
+    """Raises if there is a boundary error.  One small aggregate."""
+    found = boundary_error(txns).first()
+    if found is not None:
+        raise TransactionBoundaryError(found["number"])
 
 
 def transaction_tables(assigned: DataFrame) -> DataFrame:

@@ -54,21 +54,19 @@ class AnalysisResult:
             frame.unpersist()
 
 
-def analyze(events: DataFrame, options: AnalysisOptions | None = None, run: int = T.RUN, hold: bool = True) -> AnalysisResult:
+def analyze(events: DataFrame, options: AnalysisOptions | None = None, run: int = T.RUN, hold: bool = False) -> AnalysisResult:
     """Analyses normalised events.
 
     The window comes first, so a transaction cut by it is rebuilt from what is
     left.  Raises TransactionBoundaryError at once if a BEGIN came while an
     explicit transaction was open, whatever results are asked for.  With
-    ``hold`` the events in the window and the transactions are persisted, as
-    several results read them; release() lets them go.
+    ``hold`` the transactions are persisted, as several results read them;
+    release() lets them go.  Events are never held: each result reads them anew
+    and only the columns it needs.
     """
     options = options or AnalysisOptions()
     events = in_window(complete(events), options.naive_start(), options.naive_end())
     held = []
-    if hold:
-        events = events.persist()
-        held.append(events)
     assigned = T.assign_transactions(events, run)
     txns = T.transactions(assigned)
     if hold:
@@ -104,7 +102,7 @@ def analyze(events: DataFrame, options: AnalysisOptions | None = None, run: int
     )
 
 
-def analyze_raw(raw: DataFrame, options: AnalysisOptions | None = None, run: int = T.RUN, hold: bool = True) -> AnalysisResult:
+def analyze_raw(raw: DataFrame, options: AnalysisOptions | None = None, run: int = T.RUN, hold: bool = False) -> AnalysisResult:
     """Analyses raw change events; those of unknown kinds are dropped and not counted."""
     options = options or AnalysisOptions()
     events = in_window(raw, options.naive_start(), options.naive_end())  # on the scan, before anything is computed
