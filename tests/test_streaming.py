@@ -6,6 +6,7 @@ from tests import model
 from tests.events import at, ev, rows
 from tests.test_transactions import random_events
 from tidelog.operators.stats import minute_buckets, minute_table_rows, table_stats
+from tidelog.operators import alerts
 from tidelog.operators.normalize import complete
 from tidelog.options import AnalysisOptions
 from tidelog.schemas import EVENT
@@ -91,3 +92,38 @@ def test_spikes(spark, tmp_path):
     finally:
         query.stop()
     assert found == [(at(120), 120, 11), (at(300), 500, 10)]
+
+
+def test_table_spikes_and_bounded_history(spark, tmp_path):
+    counts = {"shop.a": (10, 12, 120, 11, 10, 9, 10, 1, 1, 1), "shop.b": (0, 0, 5, 400, 3, 4, 700, 1, 1, 1)}
+    batches = [[rows(n, 60 * k, table) for table, own in counts.items() if (n := own[k])] for k in range(10)]
+    options, found = AnalysisOptions(detect_spikes=True, spike_window=2, spike_min_rows=50, spike_factor=3.0), []
+    past = tmp_path / "past"
+    watch = live.table_spike_watch(str(past), options, lambda alerts, _: found.extend((r["minute"], r["table"], r["rows"], r["baseline"]) for r in alerts.collect()))
+    stream = feed(spark, tmp_path, batches)
+    query = live.live_minute_table_rows(stream, "1 second").writeStream.foreachBatch(watch).outputMode("append").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    every = frame(spark, [e for b in batches for e in b])
+    buckets, by_table = minute_buckets(every), minute_table_rows(every)
+    want = alerts.spike_alerts(buckets, options).unionByName(alerts.table_spike_alerts(buckets, by_table, options))
+    assert sorted(found, key=str) == sorted(((r["minute"], r["table"], r["rows"], r["baseline"]) for r in want.collect()), key=str)
+    assert any(t for _, t, _, _ in found) and any(t is None for _, t, _, _ in found)
+    assert len([p for p in past.iterdir() if p.name.startswith("after=")]) <= 2
+
+
+def test_a_batch_run_again_says_the_same(spark, tmp_path):
+    options, told = AnalysisOptions(detect_spikes=True, spike_window=1, spike_min_rows=5, spike_factor=2.0), []
+    watch = live.spike_watch(str(tmp_path / "h"), options, lambda found, n: told.append((n, [r["rows"] for r in found.collect()])))
+    minutes = [spark.createDataFrame([(at(60 * k), n, 0)], "minute timestamp_ntz, total_rows long, txn_count long") for k, n in enumerate((5, 20, 4))]
+    for k in (0, 1, 1, 2, 2):
+        watch(minutes[k], k)
+    assert told == [(0, []), (1, [20]), (1, [20]), (2, []), (2, [])]
+
+
+def test_table_stats_without_transactions(spark, tmp_path):
+    stream = feed(spark, tmp_path, BATCHES)
+    drain(live.live_table_stats(stream, count_txns=False), "tables_lean", "complete")
+    assert "txn_count" not in spark.table("tables_lean").columns and spark.table("tables_lean").count() == 2

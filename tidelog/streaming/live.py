@@ -26,12 +26,16 @@ def _txns() -> F.Column:
     return F.size(F.collect_set(F.when(F.col("txn_key") != "", F.col("txn_key")))).cast("bigint").alias("txn_count")
 
 
-def live_table_stats(events: DataFrame) -> DataFrame:
-    """Rows by table so far, for the output modes update and complete."""
+def live_table_stats(events: DataFrame, count_txns: bool = True) -> DataFrame:
+    """Rows by table so far, for the output modes update and complete.
+
+    The distinct transactions so far are kept in the state, which so grows with
+    them; without ``count_txns`` the state is a row a table.
+    """
     rows = F.col("row_count")
     by_operation = [F.sum(F.when(F.col("operation") == op, rows).otherwise(0)).alias(f"{op.lower()}_rows") for op in MUTATIONS]
     eligible = events.filter(F.col("operation").isin(*MUTATIONS) & (F.col("schema") != "") & (F.col("table") != ""))
-    return eligible.groupBy("schema", "table").agg(F.sum(rows).alias("total_rows"), *by_operation, _txns())
+    return eligible.groupBy("schema", "table").agg(F.sum(rows).alias("total_rows"), *by_operation, *([_txns()] if count_txns else []))
 
 
 def _minutes(events: DataFrame, delay: str) -> DataFrame:
@@ -99,26 +103,52 @@ def live_transactions(events: DataFrame) -> DataFrame:
     return slim.groupBy("stream_id").applyInPandasWithState(_advance, TXN, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def spike_watch(history: str, options: AnalysisOptions, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch on live_minute_buckets: gives the spikes among the batch's minutes to ``sink``.
+Watch = Callable[[DataFrame, int], None]
+
 
-    history: a folder for closed minutes.  A batch reads the last ones before
-    its own, as many as the window has; a batch run again writes the same.
+def _watch(history: str, options: AnalysisOptions, sink: Watch, alerts: Callable[[DataFrame], DataFrame]) -> Watch:
+    """For foreachBatch on closed minutes: gives the alerts of the batch's minutes to ``sink``.
+
+    history: a folder for the last minutes, as many as the window has, after
+    each batch.  A batch reads what the batch before it left, so its cost does
+    not grow with the stream, and run again it reads and writes the same.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark, folder = batch.sparkSession, f"{history.rstrip('/')}/minutes"
+        spark, folder = batch.sparkSession, history.rstrip("/")
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        left = sorted(int(f.getPath().getName().partition("=")[2]) for f in (fs.listStatus(at) if fs.exists(at) else []) if f.getPath().getName().startswith("after="))
+        earlier = [n for n in left if n < number]
         batch = batch.persist()
         try:
             if batch.isEmpty():
                 return
-            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/part={number}")
-            known = spark.read.parquet(folder).filter(F.col("batch") <= number).dropDuplicates(["minute"])
+            near = batch
+            if earlier:
+                near = spark.read.schema(batch.schema).parquet(f"{folder}/after={earlier[-1]}").unionByName(batch)
+            last = [r["minute"] for r in near.select("minute").distinct().orderBy(F.desc("minute")).limit(max(1, options.spike_window)).collect()]
+            near.filter(F.col("minute") >= F.lit(last[-1]).cast("timestamp_ntz")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/after={number}")
             first = batch.agg(F.min("minute")).first()[0]
-            past = known.filter(F.col("minute") < first).orderBy(F.desc("minute")).limit(options.spike_window)
-            near = past.select(*batch.columns).unionByName(batch)
-            sink(A.spike_alerts(near, options).filter(F.col("minute") >= F.lit(first).cast("timestamp_ntz")), number)
+            sink(alerts(near).filter(F.col("minute") >= F.lit(first).cast("timestamp_ntz")), number)
+            for n in earlier[:-1]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/after={n}"), True)
         finally:
             batch.unpersist()
 
     return handle
+
+
+def spike_watch(history: str, options: AnalysisOptions, sink: Watch) -> Watch:
+    """On live_minute_buckets: the overall spikes."""
+    return _watch(history, options, sink, lambda minutes: A.spike_alerts(minutes, options))
+
+
+def table_spike_watch(history: str, options: AnalysisOptions, sink: Watch) -> Watch:
+    """On live_minute_table_rows: the spikes of tables and, as their rows make up the minute's, the overall ones."""
+
+    def both(rows: DataFrame) -> DataFrame:
+        minutes = rows.groupBy("minute").agg(F.sum("rows").alias("total_rows"))
+        return A.spike_alerts(minutes, options).unionByName(A.table_spike_alerts(minutes, rows, options))
+
+    return _watch(history, options, sink, both)
