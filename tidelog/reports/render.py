@@ -1,9 +1,14 @@
-"""Text and JSON reports of an analysis.  Only bounded results are collected."""
+"""Text and JSON reports of an analysis.
+
+The summary is a row; tables and transactions are as many as the options ask
+for.  Minutes and alerts are as many as there are and come to the driver a
+partition at a time; written as text they pass through line by line.
+"""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, TextIO
 
 from pyspark.sql import Row
@@ -18,14 +23,14 @@ TITLES = ("Workload Summary", "Top Tables", "Top Transactions", "Minute Activity
 EMPTY = (None, "(no table activity)", "(no transactions)", "(no minute activity)", "(no alerts)")
 
 
-def collected(result: AnalysisResult) -> dict[str, Any]:
-    """The report's rows: the summary, top tables, top transactions, minutes and alerts."""
+def collected(result: AnalysisResult, many: Callable[[Iterator[Row]], Iterable[Row]] = list) -> dict[str, Any]:
+    """The report's rows: the summary, top tables, top transactions, minutes and alerts; the last two as ``many`` takes them."""
     return {
         "summary": result.summary.first(),
         "tables": result.tables.collect(),
         "transactions": result.transactions.collect(),
-        "minutes": result.minutes.collect(),
-        "alerts": result.alerts.collect(),
+        "minutes": many(result.minutes.toLocalIterator()),
+        "alerts": many(result.alerts.toLocalIterator()),
         "warnings": result.warnings,
     }
 
@@ -34,7 +39,7 @@ def _text_query(txn: Row, mode: SqlContext) -> str:
     return {SqlContext.OFF: "", SqlContext.FULL: txn["query_sql"], SqlContext.SUMMARY: txn["query_summary"]}[mode]
 
 
-def _sections(rows: dict[str, Any], mode: SqlContext) -> Iterator[list[str]]:
+def _sections(rows: dict[str, Any], mode: SqlContext) -> Iterator[Iterable[str]]:
     s = rows["summary"]
     yield [
         f"Total Transactions: {s['total_transactions']}",
@@ -50,15 +55,24 @@ def _sections(rows: dict[str, Any], mode: SqlContext) -> Iterator[list[str]]:
         if query := _text_query(t, mode):
             lines.append(f"  Query: {query}")
     yield lines
-    yield [f"{m['minute']:%Y-%m-%d %H:%M}: {m['total_rows']} rows, {m['txn_count']} txn" for m in rows["minutes"]]
-    yield [f"[{a['severity'].upper()}] {a['type']}: {a['message']}" for a in rows["alerts"]]
+    yield (f"{m['minute']:%Y-%m-%d %H:%M}: {m['total_rows']} rows, {m['txn_count']} txn" for m in rows["minutes"])
+    yield (f"[{a['severity'].upper()}] {a['type']}: {a['message']}" for a in rows["alerts"])
 
 
-def text_of(rows: dict[str, Any], mode: SqlContext | str = SqlContext.SUMMARY) -> str:
-    out = []
+def lines_of(rows: dict[str, Any], mode: SqlContext | str = SqlContext.SUMMARY) -> Iterator[str]:
+    """The text report, line by line."""
     for title, empty, lines in zip(TITLES, EMPTY, _sections(rows, SqlContext.or_default(mode)), strict=True):
-        out += [f"=== {title} ===", *(f"  {line}" for line in lines or [empty]), ""]
-    return "\n".join(out) + "\n"
+        yield f"=== {title} ==="
+        count = 0
+        for count, line in enumerate(lines, 1):
+            yield f"  {line}"
+        if not count:
+            yield f"  {empty}"
+        yield ""
+
+
+def text_of(rows: dict[str, Any], mode: SqlContext | str = SqlContext.SUMMARY) -> str:
+    return "\n".join(lines_of(rows, mode)) + "\n"
 
 
 def _sorted(counts: dict[str, int] | None) -> dict[str, int]:
@@ -129,7 +143,9 @@ def render_json(result: AnalysisResult, mode: SqlContext | str = SqlContext.SUMM
 
 
 def write_text(result: AnalysisResult, out: TextIO | None = None, mode: SqlContext | str = SqlContext.SUMMARY) -> None:
-    (out or sys.stdout).write(render_text(result, mode))
+    out = out or sys.stdout
+    for line in lines_of(collected(result, iter), mode):
+        out.write(line + "\n")
 
 
 def write_json(result: AnalysisResult, out: TextIO | None = None, mode: SqlContext | str = SqlContext.SUMMARY) -> None:
