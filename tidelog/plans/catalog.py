@@ -17,7 +17,9 @@ from tidelog.operators.window import in_window
 from tidelog.options import MAX_SQL_BYTES, AnalysisOptions, TxnKeys
 from tidelog.plans import oracle
 from tidelog.plans.analyze import analyze
-from tidelog.sources.adapters import ORDER_SPAN, activity_events, order_events, table
+from tidelog.schemas import RESULT_TABLES
+from tidelog.sources.adapters import ORDER_SPAN, activity_events, order_events, raw_events, table
+from tidelog.sources.readers import in_file_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +56,48 @@ def affected_row_counts(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("seq", "event_type", "row_count", affected_rows(F.col("event_type"), F.col("row_count")).alias("affected"))
 
 
+def normalize_raw_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every name of an event type, control words, bounded SQL; the rest dropped."""
+    return normalize(raw_events(spark, d)).select("seq", "event_type", "schema", "table", "operation", "row_count", "query_sql", "query_truncated", "query_original_bytes")
+
+
+def normalized_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many raw events of each type are known, and as what; update images halved."""
+    raw = raw_events(spark, d)
+    known = normalize(raw, halve_update_images=True).select("seq", F.col("event_type").alias("kind"), "row_count")
+    told = raw.select("seq", "event_type").join(known, "seq", "left").groupBy("event_type", F.coalesce("kind", F.lit("")).alias("kind"))
+    return told.agg(F.count("*").alias("events"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"))
+
+
+def transactions_over_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two files in order, whose transactions cross from one to the other."""
+    raw = raw_events(spark, d).filter("event_type not in ('QueryEvent', 'QUERY_EVENT')")
+    files = in_file_order([raw.filter("seq % 2 = 0"), raw.filter("seq % 2 = 1")])
+    return T.transactions(T.assign_transactions(normalize(files), ACTIVITY_RUN)).select("txn_key", "start_time", "end_time", "duration_ms", "total_rows", "event_count", "query_truncated", "query_original_bytes")
+
+
+def boundary_error(spark: SparkSession, d: str) -> DataFrame:
+    """The first explicit transaction into which another begins."""
+    return T.boundary_error(T.transactions(T.assign_transactions(normalize(raw_events(spark, d)), ACTIVITY_RUN)))
+
+
+def first_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """In order of start."""
+    return _flat(T.in_order(T.transactions(_activity_txns(spark, d))).limit(LIMIT))
+
+
+def _stored(name: str) -> Query:
+    """A result table as the store has it, through the whole analysis."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        options = AnalysisOptions(start=START, end=END, detect_spikes=True, large_txn_rows=SPIKES.large_txn_rows, large_txn_duration=SPIKES.large_txn_duration)
+        frame = analyze(activity_events(spark, d), options, ACTIVITY_RUN).relational()[name]
+        return frame.drop("details_json")
+
+    query.__name__ = f"store_{name}"
+    return query
+
+
 def table_stats_all(spark: SparkSession, d: str) -> DataFrame:
     return S.table_stats(activity_events(spark, d))
 
@@ -170,7 +214,7 @@ def alerts_all(spark: SparkSession, d: str) -> DataFrame:
 
 def analysis_top_transactions(spark: SparkSession, d: str) -> DataFrame:
     """Through the whole analysis, boundary check and all."""
-    result = analyze(activity_events(spark, d), AnalysisOptions(start=START, end=END, top_transactions=LIMIT, txn_keys=TxnKeys.INPUT), ACTIVITY_RUN, hold=False)
+    result = analyze(activity_events(spark, d), AnalysisOptions(start=START, end=END, top_transactions=LIMIT, txn_keys=TxnKeys.INPUT), ACTIVITY_RUN)
     return result.transactions.select("txn_key", "total_rows", "event_count", F.array_join(F.map_keys("tables"), ",").alias("tables"), F.array_join(F.map_keys("operations"), ",").alias("operations"))
 
 
@@ -202,6 +246,12 @@ _ALL: tuple[Query, ...] = (
     spike_alerts_table,
     alerts_all,
     analysis_top_transactions,
+    normalize_raw_kinds,
+    normalized_kinds,
+    transactions_over_files,
+    boundary_error,
+    first_transactions,
+    *map(_stored, RESULT_TABLES),
 )
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

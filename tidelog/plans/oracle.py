@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from tidelog.options import AnalysisOptions
+from tidelog.sources.adapters import RAW_KINDS, RAW_QUERIES
 
 ACTIVITY = """
 ev AS (
@@ -31,6 +32,32 @@ raw AS (
   UNION ALL SELECT o_orderkey * {span} + {span} - 1, coalesce((SELECT max(ts) FROM items i WHERE i.key = o_orderkey), o_orderdate), 'XID_EVENT', 'XID', '', '', '', 0 FROM orders),
 ev AS (SELECT seq, ts, event_type, '' AS txn_key, schema, "table", operation, row_count, '' AS query_sql FROM raw)"""
 
+#: A raw log: names of event types and texts of queries in order, by event_id and user_id.
+RAW = """
+rawlog AS (
+  SELECT event_id AS seq, ts, {kinds}[event_id % {n_kinds} + 1] AS raw_type, 'app' AS schema, 't' || (user_id % 8) AS "table",
+         coalesce(CAST(floor(value) AS BIGINT), 0) AS n, {queries}[user_id % {n_queries} + 1] AS query,
+         CASE WHEN user_id % 5 > 0 THEN repeat(coalesce(props, '') || ' é', CAST(event_id % 97 * 8 AS BIGINT)) ELSE '' END AS sql
+  FROM events),
+classed AS (
+  SELECT *, CASE WHEN raw_type LIKE 'WriteRows%' OR raw_type LIKE 'WRITE\\_ROWS%' ESCAPE '\\' THEN 'INSERT'
+                 WHEN raw_type LIKE 'UpdateRows%' OR raw_type LIKE 'UPDATE\\_ROWS%' ESCAPE '\\' THEN 'UPDATE'
+                 WHEN raw_type LIKE 'DeleteRows%' OR raw_type LIKE 'DELETE\\_ROWS%' ESCAPE '\\' THEN 'DELETE' ELSE '' END AS op,
+         upper(regexp_replace(query, '^[\\s\\x0b\\p{{Z}}]+|[\\s\\x0b\\p{{Z}}]+$', '', 'g')) AS word
+  FROM rawlog),
+kinded AS (
+  SELECT *, CASE WHEN op <> '' THEN 'ROWS' WHEN raw_type IN ('XIDEvent', 'XID_EVENT') THEN 'XID' WHEN raw_type IN ('TableMapEvent', 'TABLE_MAP_EVENT') THEN 'TABLE_MAP'
+                 WHEN raw_type IN ('RowsQueryEvent', 'ROWS_QUERY_EVENT') THEN 'ROWS_QUERY'
+                 WHEN raw_type IN ('QueryEvent', 'QUERY_EVENT') AND word IN ('BEGIN', 'COMMIT') THEN word END AS kind
+  FROM classed),
+ev AS (
+  SELECT seq, ts, kind AS event_type, '' AS txn_key, CASE WHEN kind IN ('XID', 'ROWS_QUERY') THEN '' ELSE schema END AS schema,
+         CASE WHEN kind IN ('ROWS', 'TABLE_MAP') THEN "table" ELSE '' END AS "table", op AS operation, CASE WHEN kind = 'ROWS' THEN n ELSE 0 END AS row_count,
+         CASE WHEN kind <> 'ROWS_QUERY' THEN '' WHEN strlen(sql) <= {most} THEN sql
+              ELSE left(sql, (SELECT max(k) FROM range({least}, {most} + 1) r(k) WHERE strlen(left(sql, k)) <= {most})) END AS query_sql,
+         kind = 'ROWS_QUERY' AND strlen(sql) > {most} AS query_truncated, CASE WHEN kind = 'ROWS_QUERY' THEN strlen(sql) ELSE 0 END AS query_original_bytes
+  FROM kinded WHERE kind IS NOT NULL)"""
+
 #: After ev: events with txn_id, and a row a transaction.
 TXNS = """
 kinds AS (
@@ -78,6 +105,10 @@ def _summary(column: str) -> str:
     return f"CASE WHEN length({line}) > 160 THEN left({line}, 157) || '...' ELSE {line} END"
 
 
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 def _spikes(o: AnalysisOptions) -> str:
     n = o.spike_window
     return f"""
@@ -121,6 +152,13 @@ def statements(start: datetime, end: datetime, limit: int, sql_bytes: int, spike
     columns = 'seq, ts, event_type, schema, "table", operation, CAST(row_count AS BIGINT) AS row_count'
     ranked = 'ORDER BY total_rows DESC, schema, "table" LIMIT 5'
     names = "string_agg(DISTINCT {0}, ',' ORDER BY {0})"
+    raw = RAW.format(kinds=_list(RAW_KINDS), queries=_list(RAW_QUERIES), n_kinds=len(RAW_KINDS), n_queries=len(RAW_QUERIES), most=sql_bytes, least=sql_bytes // 4)
+    span_of_file = 1 << 44
+    files = f"two AS (SELECT * REPLACE (seq % 2 * {span_of_file} + seq AS seq) FROM ev WHERE event_type NOT IN ('BEGIN', 'COMMIT'))"
+    over_files = TXNS.format(ev="two", summary="''")
+    stored = AnalysisOptions(detect_spikes=True, large_txn_rows=spikes.large_txn_rows, large_txn_duration=spikes.large_txn_duration)
+    cut_minutes = MINUTES.replace("FROM ev WHERE", "FROM cut WHERE")
+    whole = f"WITH {ACTIVITY}, {cut}, {cut_txns}, {cut_minutes}"
     return {
         "window_filter": f"WITH {ACTIVITY}, {cut} SELECT {columns} FROM cut",
         "normalize_events": f"WITH {orders} SELECT {columns} FROM raw",
@@ -153,6 +191,22 @@ def statements(start: datetime, end: datetime, limit: int, sql_bytes: int, spike
 SELECT 'large_transaction' AS type, severity, txn_key, CAST(NULL AS TIMESTAMP) AS minute, message, CAST(NULL AS VARCHAR) AS "table", rows FROM large
 UNION ALL SELECT 'spike', 'warning', '', minute, 'Write spike detected', NULL, rows FROM overall
 UNION ALL SELECT 'spike', 'warning', '', minute, 'Table write spike detected', table_key, rows FROM by_tables""",
+        "normalize_raw_kinds": f"WITH {raw} SELECT seq, event_type, schema, \"table\", operation, CAST(row_count AS BIGINT) AS row_count, query_sql, query_truncated, CAST(query_original_bytes AS BIGINT) AS query_original_bytes FROM ev",
+        "normalized_kinds": f"WITH {raw} SELECT raw_type AS event_type, coalesce(kind, '') AS kind, count(*) AS events, CAST(coalesce(sum(CASE WHEN kind = 'ROWS' THEN CASE WHEN op = 'UPDATE' THEN n // 2 ELSE n END ELSE 0 END), 0) AS BIGINT) AS rows FROM kinded GROUP BY ALL",
+        "transactions_over_files": f"""WITH {raw}, {files}, {over_files}, sized AS (SELECT 'txn-' || txn_id AS key, max_by(query_original_bytes, seq) AS size, max_by(query_truncated, seq) AS cut FROM assigned WHERE event_type = 'ROWS_QUERY' GROUP BY txn_id)
+SELECT txn_key, start_time, end_time, duration_ms, total_rows, event_count, coalesce(cut, false) AS query_truncated, CAST(coalesce(size, 0) AS BIGINT) AS query_original_bytes FROM txns LEFT JOIN sized ON key = txn_key""",
+        "boundary_error": f"WITH {raw}, {txns}, wrong AS (SELECT min(txn_id) AS number FROM ended WHERE explicit AND NOT closed AND txn_id < (SELECT max(txn_id) FROM ended)) SELECT number, 'BEGIN received while explicit transaction txn-' || number || ' is in-flight' AS message FROM wrong WHERE number IS NOT NULL",
+        "first_transactions": f"WITH {ACTIVITY}, {txns} SELECT {FLAT} FROM txns ORDER BY start_time, txn_key LIMIT {limit}",
+        "store_transactions": f"{whole} SELECT {FLAT} FROM txns",
+        "store_transaction_tables": f"""{whole} SELECT 'txn-' || txn_id AS txn_key, schema || '.' || "table" AS table_key, CAST(sum(row_count) AS BIGINT) AS rows FROM assigned WHERE event_type = 'ROWS' AND schema <> '' AND "table" <> '' GROUP BY ALL""",
+        "store_transaction_sql_contexts": f"{whole} SELECT txn_key, query_sql, query_truncated, query_original_bytes FROM txns WHERE query_sql <> ''",
+        "store_transaction_operations": f"{whole} SELECT 'txn-' || txn_id AS txn_key, operation, CAST(sum(row_count) AS BIGINT) AS rows FROM assigned WHERE event_type = 'ROWS' AND operation <> '' GROUP BY ALL",
+        "store_minute_buckets": f"{whole} SELECT * FROM buckets",
+        "store_minute_table_rows": f"{whole} SELECT * FROM by_table",
+        "store_alerts": f"""{whole}, {_large(stored)}, {_spikes(stored)}, {_table_spikes(stored)}
+SELECT 'large_transaction' AS type, severity, txn_key, CAST(NULL AS TIMESTAMP) AS minute, message FROM large
+UNION ALL SELECT 'spike', 'warning', '', minute, 'Write spike detected' FROM overall
+UNION ALL SELECT 'spike', 'warning', '', minute, 'Table write spike detected' FROM by_tables""",
         "analysis_top_transactions": f"""WITH {ACTIVITY}, {cut}, {cut_txns}, top AS (SELECT * FROM txns ORDER BY total_rows DESC, txn_key LIMIT {limit})
 SELECT t.txn_key, t.total_rows, t.event_count,
  coalesce((SELECT {names.format("schema || '.' || " + '"table"')} FROM assigned a WHERE 'txn-' || a.txn_id = t.txn_key AND event_type = 'ROWS' AND schema <> '' AND "table" <> ''), '') AS tables,

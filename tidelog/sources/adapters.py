@@ -48,6 +48,31 @@ def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What the raw log's events are, by event_id modulo their number, and the text of its queries by user.
+RAW_KINDS = ("WriteRowsEventV2", "UPDATE_ROWS_EVENTv1", "DeleteRowsEventV0", "WRITE_ROWS_EVENT", "UpdateRowsEvent", "DELETE_ROWS_EVENTv2", "TableMapEvent", "TABLE_MAP_EVENT", "XIDEvent", "QueryEvent", "QUERY_EVENT", "RowsQueryEvent", "ROWS_QUERY_EVENT", "FormatDescriptionEvent", "writeRowsEvent", "ROTATE_EVENT")
+RAW_QUERIES = (" begin ", "COMMIT\n", "ROLLBACK", "CREATE TABLE t (x int)", "\u00a0Commit\u00a0", "BEGIN", "", "savepoint a")
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events as a raw log with every name that event types go by, queries, SQL of any length, and events that no analysis knows."""
+    kinds, queries = (F.array(*[F.lit(v) for v in values]) for values in (RAW_KINDS, RAW_QUERIES))
+    kind = F.element_at(kinds, (F.col("event_id") % len(RAW_KINDS) + 1).cast("int"))
+    sql = F.concat(F.repeat(F.concat(F.coalesce("props", F.lit("")), F.lit(" é")), (F.col("event_id") % 97 * 8).cast("int")), F.lit(""))
+    told = table(spark, sf_dir, "events").select(
+        F.lit(0).alias("file_idx"),
+        F.col("event_id").alias("seq"),
+        "ts",
+        kind.alias("event_type"),
+        F.lit("app").alias("schema"),
+        F.concat(F.lit("t"), F.col("user_id") % 8).alias("table"),
+        F.when(kind.isin("QueryEvent", "QUERY_EVENT"), F.element_at(queries, (F.col("user_id") % len(RAW_QUERIES) + 1).cast("int"))).alias("query"),
+        F.when(kind.isin("RowsQueryEvent", "ROWS_QUERY_EVENT"), F.when(F.col("user_id") % 5 > 0, sql)).alias("query_sql"),
+        F.floor("value").cast("bigint").alias("row_count"),
+        F.col("event_id").alias("pos"),
+    )
+    return told.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in RAW_EVENT.fields])
+
+
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as raw events: BEGIN, a rows event for each item, and the closing event."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("ordered"))
