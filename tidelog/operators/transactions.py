@@ -35,9 +35,14 @@ class TransactionBoundaryError(ValueError):
         self.number = number
 
 
+#: Event types that make up transactions.
+RELEVANT = ("BEGIN", "COMMIT", "XID", "ROWS", "ROWS_QUERY")
+
+
 def _kind() -> Column:
+    """Of a relevant event."""
     t = F.col("event_type")
-    return F.when(t == "BEGIN", B).when(t.isin("COMMIT", "XID"), C).when(t.isin("ROWS", "ROWS_QUERY"), R)
+    return F.when(t == "BEGIN", B).when(t.isin("COMMIT", "XID"), C).otherwise(R)
 
 
 def _starts(kind: Column, before: Column) -> Column:
@@ -66,8 +71,9 @@ def assign_transactions(events: DataFrame, run: int = RUN) -> DataFrame:
     """The events that belong to transactions, with kind and txn_id, from 1 in order of start."""
     own = Window.partitionBy("run").orderBy("seq")
     marked = (
-        events.withColumn("kind", _kind())
-        .filter("kind is not null")
+        # By type, not by kind: Catalyst would write kind's conditions out in the filter, over those of the type, too long to be compiled.
+        events.filter(F.col("event_type").isin(*RELEVANT))
+        .withColumn("kind", _kind())
         .withColumn("run", F.floor(F.col("seq") / run))
         .withColumns({"before": F.lag("kind").over(own), "place": F.row_number().over(own)})
         .withColumn("inner_start", (_starts(F.col("kind"), F.col("before")) & (F.col("place") > 1)).cast("bigint"))
