@@ -78,3 +78,26 @@ def test_stages_take_odd_rows(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, given, SF).count() == given.count()
     masked = corpus_pipeline.personal_data(spark, docs, SF).collect()
     assert masked[5]["text"].startswith("mail [EMAIL] ") and masked[5]["n_chars"] == len(masked[5]["text"]) and masked[3]["text"] is None
+
+
+def tables_at(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    assert corpus_pipeline.run(spark, tables_at(spark, tmp_path, docs)).count() == 0
+
+
+def test_run_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    names = ("ids", "starts", "data", "score", "lang_pred", "lettered", "copy", "row", "hot", "key", "spans", "kept", "n_words", "_quality_kept", "leaky", "doc", "component")
+    prose = " ".join(f"word{k} and then." for k in range(60))
+    rows = [(1, prose), (1, prose), (None, prose[::-1]), (3, None), (4, ""), (5, "mail a@b.example.com " + prose.title() + " end"), (6, prose * 3000), (7, "12 34 " * 5000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[docs.lang.alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+    got = corpus_pipeline.run(spark, tables_at(spark, tmp_path, docs)).collect()
+    assert [r["doc_id"] for r in got if r["doc_id"] == 1] == [1] and {r["doc_id"] for r in got} <= {1, None, 5, 6}

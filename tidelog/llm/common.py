@@ -42,11 +42,6 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def folder_bytes(spark: SparkSession, path: str) -> int:
-    at, fs = _path(spark, path)
-    return int(fs.getContentSummary(at).getLength())
-
-
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """The frame as a Parquet table in the shared folder, and its path.
 

@@ -46,7 +46,9 @@ from tidelog.llm.skip_join import Group, Index, linked
 PERCENT = 80
 #: The share of the hash range in which tokens of all sets are looked at.
 RANGE = 0.3
+#: Bytes that a broadcast may take in memory, and that a row of ids takes there.
 BROADCAST_BYTES = 16 << 20
+ROW_BYTES = 64
 #: Tokens of a group that one task joins, and of a block of a group too large for one; pivots have as many at most.
 GROUP_TOKENS = 4_000_000
 BLOCK_TOKENS = 1_000_000
@@ -327,7 +329,7 @@ def group_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(label, skey, tokens) from the texts of the documents named in wanted (doc, label); skey is the document."""
-    texts = docs.select("doc", "text").join(broadcast_if_small(wanted, 32 * wanted.count(), BROADCAST_BYTES), "doc")
+    texts = docs.select("doc", "text").join(broadcast_if_small(wanted, ROW_BYTES * wanted.count(), BROADCAST_BYTES), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -503,7 +505,7 @@ def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     found = similar(own.select(F.col(row).alias("doc"), F.col(text).alias("text")))
     copy = fresh("copy", own.columns)
     gone, _ = written(found.filter("doc <> component").select(F.col("doc").alias(copy)), "copies")
-    rest = own.join(broadcast_if_small(gone, 24 * gone.count(), BROADCAST_BYTES), F.col(f"`{row}`") == F.col(copy), "left_anti")
+    rest = own.join(broadcast_if_small(gone, ROW_BYTES * gone.count(), BROADCAST_BYTES), F.col(f"`{row}`") == F.col(copy), "left_anti")
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
