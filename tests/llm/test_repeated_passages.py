@@ -129,6 +129,16 @@ def test_hot_triggers_are_split_by_window(spark, monkeypatch):
     assert sorted(rows_of(R.cut(own, spans, 1))) == sorted(brute(rows, 100))
 
 
+def test_long_phrases_weigh_as_many(spark, monkeypatch):
+    """A text that repeats itself is a phrase or two of any length; its windows are dealt out."""
+    rows = [(k, ("ab" * 3000 if k % 2 else "abc" * 2500) + f" end {k}") for k in range(6)] + [(9, "x" * 5000), (10, "y" + "x" * 4000)]
+    own = R.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = R.dictionary(R.parse(own, 4), 4).filter("triggers is not null").collect()
+    assert max(r["strings"] for r in found) > 20
+    monkeypatch.setattr(R, "SPLIT", 5)
+    assert sorted(rows_of(R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))) == sorted(brute(rows, 100))
+
+
 def test_equal_windows_meet_in_a_part_that_comes_in_pieces(spark, monkeypatch):
     """Pieces of a part differ in their count of a trigger's phrases, each above 2 * SPLIT."""
     rng = random.Random(5)

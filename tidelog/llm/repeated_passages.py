@@ -62,6 +62,8 @@ PIECE = 1 << 18
 COMBINE = 1 << 18
 #: Phrases of one trigger that one task compares; of a trigger with more the windows are dealt out.
 SPLIT = 20_000
+#: Bytes that count as a phrase, as a text that repeats itself makes phrases of any length.
+PHRASE_BYTES = 150
 #: Phrases of a text taken out of it at a time.
 STRINGS = 1 << 12
 #: A table is broadcast if it takes at most so many bytes in memory.
@@ -355,10 +357,11 @@ def dictionary(blocks: DataFrame, parts: int, length: int = LENGTH) -> DataFrame
             new = np.append(True, kept[1:] != kept[:-1])
             group = np.cumsum(new) - 1
             strings = np.bincount(group)[group] if len(group) else group
+            weight = (np.bincount(group, count[stay] + length - 1)[group] // PHRASE_BYTES).astype(np.int64) if len(group) else group
             go_on = np.flatnonzero((strings > 1) | again[stay] | split)
             if len(go_on):
                 stay = stay[go_on]
-                yield _batch(doc=doc[stay], a=start[stay].astype(np.int64), b=count[stay], triggers=trigger[stay].astype(np.int64) * parts + part, strings=np.full(len(stay), SPLIT * parts) if split else strings[go_on])
+                yield _batch(doc=doc[stay], a=start[stay].astype(np.int64), b=count[stay], triggers=trigger[stay].astype(np.int64) * parts + part, strings=np.full(len(stay), SPLIT * parts) if split else np.maximum(strings, weight)[go_on])
 
         while passed:
             yield passed.pop()
