@@ -146,9 +146,8 @@ def test_events_are_sorted_by_runs_not_in_one_place(spark):
     assert plan.count("Exchange hashpartitioning(run") >= 1
 
 
-@pytest.mark.parametrize("run, stretch", [(1, 1), (2, 3), (7, 2), (64, 4096)])
-def test_runs_in_stretches(spark, monkeypatch, run, stretch):
-    monkeypatch.setattr(T._placed_runs, "__defaults__", (stretch,))
+@pytest.mark.parametrize("run, stretch", [(1, 1), (2, 3), (7, 2), (64, 4096), (3, 0)])
+def test_runs_in_stretches(spark, run, stretch):
     rng = random.Random(run * 31 + stretch)
     for _ in range(4):
         while True:
@@ -158,5 +157,5 @@ def test_runs_in_stretches(spark, monkeypatch, run, stretch):
                 break
             except model.Boundary:
                 continue
-        got = T.transactions(T.assign_transactions(frame(spark, events), run)).orderBy("txn_id").collect()
+        got = T.transactions(T.assign_transactions(frame(spark, events), run, stretch)).orderBy("txn_id").collect()
         assert [(r["txn_key"], r["start_time"], r["end_time"], r["total_rows"]) for r in got] == [(t["key"], t["start"], t["end"], t["rows"]) for t in want]

@@ -6,7 +6,7 @@ nothing; a C that follows a C or nothing closes nothing.  So each event depends
 on the one before it and on how many starts precede it, and both compose over
 runs of events: a run tells its first and last kind and its starts.  Events
 are cut into runs by seq, runs are summed up, the small table of runs is
-scanned in order, and each run is numbered by itself.  The table of runs is
+scanned in order, and each run is numbered by itself.  A table of very many runs is
 scanned in the same way: cut into stretches of runs, which are summed up, so
 that one task orders only a row a stretch.
 """
@@ -49,6 +49,15 @@ def _starts(kind: Column, before: Column) -> Column:
     return (kind == B) | ((kind == R) & (F.coalesce(before, F.lit(C)) == C))
 
 
+def _runs_in_order(runs: DataFrame) -> DataFrame:
+    """The same as _placed_runs, by one task."""
+    in_order = Window.orderBy("run")  # a row a run, not a row an event
+    runs = runs.withColumn("last_before", F.lag("last_kind").over(in_order))
+    runs = runs.withColumn("first_start", _starts(F.col("first_kind"), F.col("last_before")).cast("bigint"))
+    earlier = F.sum(F.col("inner_starts") + F.col("first_start")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    return runs.select("run", "last_before", (F.coalesce(earlier, F.lit(0)) + F.col("first_start")).alias("starts_to_first"))
+
+
 def _placed_runs(runs: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """run, the last kind before it, and the starts up to and with its first event.  runs: run, first_kind, last_kind, inner_starts."""
     within = Window.partitionBy("stretch").orderBy("run")
@@ -67,8 +76,12 @@ def _placed_runs(runs: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return told.select("run", F.coalesce("last_within", "tail_before").alias("last_before"), (F.col("before") + F.col("known_starts") - F.col("inner_starts")).alias("starts_to_first"))
 
 
-def assign_transactions(events: DataFrame, run: int = RUN) -> DataFrame:
-    """The events that belong to transactions, with kind and txn_id, from 1 in order of start."""
+def assign_transactions(events: DataFrame, run: int = RUN, stretch: int = 0) -> DataFrame:
+    """The events that belong to transactions, with kind and txn_id, from 1 in order of start.
+
+    stretch: runs in a stretch; with 0 one task orders a row a run, which reads
+    the events once less and is enough up to some millions of runs.
+    """
     own = Window.partitionBy("run").orderBy("seq")
     marked = (
         # By type, not by kind: Catalyst would write kind's conditions out in the filter, over those of the type, too long to be compiled.
@@ -83,7 +96,7 @@ def assign_transactions(events: DataFrame, run: int = RUN) -> DataFrame:
         F.max_by("kind", "seq").alias("last_kind"),
         F.sum("inner_start").alias("inner_starts"),
     )
-    runs = _placed_runs(runs)
+    runs = _placed_runs(runs, stretch) if stretch else _runs_in_order(runs)
     counted = marked.withColumn("inner_so_far", F.sum("inner_start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     # A merge join keeps the events where the window over their run has put them.
     joined = counted.join(runs.hint("merge"), "run")

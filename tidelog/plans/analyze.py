@@ -67,7 +67,7 @@ def analyze(events: DataFrame, options: AnalysisOptions | None = None, run: int
     options = options or AnalysisOptions()
     events = in_window(complete(events), options.naive_start(), options.naive_end())
     held = []
-    assigned = T.assign_transactions(events, run)
+    assigned = T.assign_transactions(events, run, T.STRETCH)
     txns = T.transactions(assigned)
     if hold:
         txns = txns.persist()
