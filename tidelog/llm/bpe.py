@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.common import map_batches, tables
 
-#: Pretokens kept by an encoder before it starts afresh.
-CACHE_WORDS = 1_000_000
+#: Pretokens kept by an encoder before it starts afresh, with those of the texts at hand.
+CACHE_WORDS = 700_000
 #: Characters of text split before their pretokens are looked up, and pretokens encoded in one text.
 TEXT_CHARS = 1 << 20
-JOIN_WORDS = 256
+JOIN_WORDS = 64
 #: Pretokens longer than this are encoded each time.
 CACHE_CHARS = 64
 
@@ -46,8 +46,6 @@ _ODD = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
 #: The pattern that _PLAIN agrees with, a fixed value.
 USUAL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_LETTERS}0-9\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
-#: Pretokens that may be encoded many in one text, a line break between.
-_JOINABLE = re.compile(rf" ?[{_LETTERS}]+")
 
 @cache
 def byte_characters() -> dict[int, str]:
@@ -107,11 +105,11 @@ class Encoder:
         self.line_break = ids[0] if apart else None
 
     def _learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = words
-        joined = [w for w in new if _JOINABLE.fullmatch(w)] if self.line_break is not None else []
+        """Encodes words that are not known yet; runs of letters many in one text, a line break after each."""
+        joined, rest = [], []
+        for w in words:
+            (joined if self.line_break is not None and w[-1].isalpha() and w[0] != "'" else rest).append(w)
+        known = self.known
         for at in range(0, len(joined), JOIN_WORDS):
             group = joined[at : at + JOIN_WORDS]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([*group, ""])], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -120,11 +118,10 @@ class Encoder:
                 raise ValueError("the tokenizer joins words over line breaks")
             packed, start = ids.tobytes(), 0
             for w, end in zip(group, (4 * ends).tolist(), strict=True):
-                self.known[w] = packed[start:end]
+                known[w] = packed[start:end]
                 start = end + 4
-        rest = list(new.difference(joined))
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def pretokens(self, text: str) -> list[str] | None:
         """The text's pretokens, or None if the tokenizer must split it."""
@@ -147,17 +144,24 @@ class Encoder:
         yield from self._encode(held)
 
     def _encode(self, held: list[tuple[str, list[str] | None]]) -> Iterator[bytes]:
-        words = set().union(*(w for _, w in held if w is not None))
-        long = max(map(len, words), default=0) > CACHE_CHARS
-        if not words <= self.known.keys():
-            self._learn({w for w in words if len(w) <= CACHE_CHARS} if long else words)
-        for text, own in held:
+        looked_up: list[tuple[list[bytes | None], list[int]]] = []
+        unseen: set[str] = set()
+        for _, own in held:
+            got = list(map(self.known.get, own or ()))
+            gaps = [k for k, ids in enumerate(got) if ids is None]
+            unseen.update([own[k] for k in gaps])
+            looked_up.append((got, gaps))
+        if len(self.known) + len(unseen) > CACHE_WORDS:  # the words of these texts stay, the common ones among them
+            self.known = {w: ids for (_, own), (got, _) in zip(held, looked_up, strict=True) for w, ids in zip(own or (), got, strict=True) if ids is not None}
+        if unseen:
+            self._learn({w for w in unseen if len(w) <= CACHE_CHARS})
+        for (text, own), (got, gaps) in zip(held, looked_up, strict=True):
             if own is None:
                 yield self._alone(text)
-            elif long:
-                yield b"".join(self.known[w] if len(w) <= CACHE_CHARS else self._alone(w) for w in own)
-            else:
-                yield b"".join(map(self.known.__getitem__, own))
+                continue
+            for k in gaps:
+                got[k] = self.known[own[k]] if len(own[k]) <= CACHE_CHARS else self._alone(own[k])
+            yield b"".join(got)
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
