@@ -175,6 +175,33 @@ def test_equal_windows_meet_in_a_part_that_comes_in_pieces(spark, monkeypatch):
     assert sorted(rows_of(R.cut(own, spans, 1))) == sorted(brute(rows, 100))
 
 
+def test_windows_of_a_hot_trigger_go_to_parts_of_bounded_size(spark, monkeypatch):
+    """A common line between texts that differ: one trigger, and far more bytes of windows than of phrases."""
+    rng = random.Random(6)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    grams = [noise(R.GRAM) for _ in range(20_000)]
+    raw = np.frombuffer("".join(grams).encode(), np.uint8)
+    at = np.arange(len(grams)) * R.GRAM
+    line = grams[int(np.argmin(R._substrings(R._sums(raw), at, at + R.GRAM)))]
+    rows = [(k, noise(120) + line + noise(120)) for k in range(500)]
+    monkeypatch.setattr(R, "SPLIT", 100)
+    parts = 4096
+    own = R.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = R.dictionary(R.parse(own, parts), parts).filter("triggers is not null").cache()
+    assert max(r["strings"] for r in found.collect()) >= 400
+    todo = found.groupBy("doc").agg(R.F.collect_list(R.F.struct("a", "b", "triggers", "strings")).alias("phrases")).cache()
+    seen = R.windows(own.join(todo, "doc").select("doc", "text", "phrases"), parts).filter("data is not null")
+    sizes = [r[1] for r in seen.groupBy("part").agg(R.F.sum(R.F.length("data"))).collect()]
+    assert sum(sizes) > 10 * R.SPLIT * R.PHRASE_BYTES and max(sizes) <= 4 * R.SPLIT * R.PHRASE_BYTES
+    assert R.ranked_parts(todo, 3) == 3
+    monkeypatch.setattr(R, "RANKED", 1 << 14)
+    assert 16 < R.ranked_parts(todo, 3) < 500
+    assert sorted(rows_of(R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))) == sorted(brute(rows, 100))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())

@@ -29,7 +29,9 @@ places, all but the first of each rank start earlier elsewhere.
 Each step first combines within its task, so a passage that a third of the
 corpus shares sends a row a task and not a row an occurrence.  A trigger with
 very many phrases is split over tasks by window: its windows go as strings of
-their own, dealt by their content.  What is gathered in one row, phrases and
+their own, dealt by their content, to so many parts that none of them has more
+bytes to rank than a trigger may have that is not split; and there are more
+parts the more there is to rank.  What is gathered in one row, phrases and
 spans, is of one document, whose text is in the row as well.
 
 Windows are compared byte by byte.  That two phrases of one trigger are equal
@@ -62,6 +64,8 @@ PIECE = 1 << 18
 COMBINE = 1 << 18
 #: Phrases of one trigger that one task compares; of a trigger with more the windows are dealt out.
 SPLIT = 20_000
+#: Bytes of strings that a part has to rank, about.
+RANKED = 1 << 20
 #: Bytes that count as a phrase, as a text that repeats itself makes phrases of any length.
 PHRASE_BYTES = 150
 #: Phrases of a text taken out of it at a time.
@@ -444,7 +448,9 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
 
     todo: doc, text and phrases, an array of (a, b, triggers, strings).  A
     phrase of a trigger that has too many goes as its windows, but for those
-    equal to an earlier one within the task.
+    equal to an earlier one within the task.  Strings have PHRASE_BYTES windows
+    each at most, so a piece of such a trigger has SPLIT * PHRASE_BYTES bytes
+    at most, as has a trigger that stays whole.
     """
 
     def blocks(part: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
@@ -478,7 +484,7 @@ def windows(todo: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
         doc, place, count, trigger, strings, size = (c[order] for c in (doc, place, count, trigger, strings, size))
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(np.cumsum(size) - size, count) + inner
-        doc, place, trigger, pieces = np.repeat(doc, count), np.repeat(place, count) + inner, np.repeat(trigger, count), np.repeat(strings // SPLIT + 1, count)
+        doc, place, trigger, pieces = np.repeat(doc, count), np.repeat(place, count) + inner, np.repeat(trigger, count), np.repeat(strings * length // SPLIT + 1, count)
         gone = _again(raw, count, length)
         one = np.ones(len(doc), np.int64)
         if gone.any():
@@ -584,12 +590,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADC
     found, _ = written(dictionary(parse(docs, parts, length), parts, length), "dictionary")
     todo = found.filter("triggers is not null").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "triggers", "strings")).alias("phrases"))
     todo, _ = written(todo, "dictionary-phrases")
+    parts = ranked_parts(todo, parts, length)
     texts = docs.select("doc", "text").join(broadcast_if_small(todo, in_memory(todo, "phrases", 48), broadcast_bytes), "doc")
     last, _ = written(ordered(windows(texts, parts, length), length), "windows-in-order")
     gone = found.filter("triggers is null").unionByName(last).select("doc", "a", "b")
     return gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
+def ranked_parts(todo: DataFrame, parts: int, length: int = LENGTH) -> int:
+    """In how many parts the phrases of ``todo`` are ranked: as many as have RANKED bytes each, ``parts`` at least."""
+    size = F.aggregate("phrases", F.lit(0).cast("bigint"), lambda n, p: n + F.when(p["strings"] >= SPLIT, p["b"] * length).otherwise(p["b"] + length - 1))
+    return max(parts, (todo.agg(F.sum(size)).first()[0] or 0) // RANKED)
+
+
 def in_memory(table: DataFrame, lists: str, each: int) -> int:
     """About the bytes that a table of ids and lists takes when broadcast."""
     rows, items = table.agg(F.count("*"), F.sum(F.size(lists))).first()
