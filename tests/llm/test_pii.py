@@ -78,6 +78,14 @@ def test_rows_of_numbers_are_left_alone():
         assert pii.spans(line, base, field) == base, line
 
 
+@pytest.mark.parametrize("before", ["", "1 2 3 ", "1 2 3 4 5 6 7 ", "12 34 " * 500])
+def test_numbers_in_rows_of_any_length(before):
+    field, numbers = pii.default_field(), [f"(555) {k}23-4567" for k in range(1, 9)]
+    for n in (1, 2, 3, 8):
+        text = "call " + before + " ".join(numbers[:n])
+        assert [text[a:b] for _, a, b in pii.spans(text, pii.base_spans(text), field)] == numbers[:n]
+
+
 def plain(line):
     """The text of a marked line, and its entities as (kind, start, end)."""
     text, gold, at = "", set(), 0

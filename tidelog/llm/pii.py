@@ -7,8 +7,9 @@ programming chooses boundaries and types together; what it finds outside the
 patterns' spans is added, so that secrets and less regular forms are found
 too.  What a segment must have to be of a type at all is a hard constraint: a
 card has 13 to 19 digits in the groups of a card and passes Luhn, and a number
-of several tokens is not part of a longer row of numbers; so rows of figures
-have no candidates, however long.  Weights are fitted here, by the likelihood
+of several tokens is a whole row of numbers, or begins with a bracket or plus
+and ends with the row or before another such; so rows of figures have no
+candidates, however long, and a number after or between them is one.  Weights are fitted here, by the likelihood
 of invented sentences, look-alikes among them.
 
 Null texts count as empty and have no spans.  Texts and tokens are searched
@@ -32,7 +33,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from heapq import merge
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -117,7 +118,6 @@ _KEY = re.compile("|".join(sorted(_SECRET_WORDS, key=len, reverse=True)), re.IGN
 _VALUE = re.compile(r"""["'`\])]*[ \t]{0,4}(?:(:=|=>|[=:])|\b(is)\b|(?<=[Bb]earer)(?=[ \t]))[ \t]{0,4}(["'`]?)""")
 _NUMBERS = re.compile(r"[0-9()+.\-]*[0-9][0-9()+.\-]*(?:[ \u00a0][0-9()+.\-]+){0,%d}" % MAX_TOKENS)
 _MORE_NUMBERS = re.compile(r"(?:[ \u00a0][0-9()+.\-]+){1,500}")
-_NUMBER_TOKEN = re.compile("[^ \u00a0]+")
 _NUMBER = re.compile(r"[0-9()+.\-]+")
 _LONG_NUMBER = re.compile(r"[0-9()+.\-]{7,}")
 _PHONE_SHAPE = re.compile(r"(?:\+?[0-9]{1,3}[ .\-]?)?(?:\([0-9]{1,5}\)|[0-9]{2,5})[ .\-]?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}")
@@ -177,20 +177,28 @@ def _number_arcs(text: str, a: int, b: int, lone: bool) -> Iterator[Arc]:
 
 
 def _numbers(text: str, a: int) -> tuple[int, Iterator[Arc]]:
-    """The end of the row of numbers from a place, and the arcs in it."""
+    """The end of the row of numbers from a place, and the arcs in it, alike in rows of any length.
+
+    A number of several tokens is the whole row, or goes from a token with a
+    bracket or plus to the end or to the next such token.  None has more than
+    MAX_TOKENS tokens, as a phone has six groups of digits at most and a card five.
+    """
     end = _NUMBERS.match(text, a).end()
-    tokens = [t.span() for t in _NUMBER_TOKEN.finditer(text, a, end)]
-    if len(tokens) > MAX_TOKENS:  # a row of figures: only what is a number by itself
-        while more := _MORE_NUMBERS.match(text, end):
-            end = more.end()
-        return end, (arc for t in _LONG_NUMBER.finditer(text, a, end) for arc in _number_arcs(text, *t.span(), False))
+    while more := _MORE_NUMBERS.match(text, end):
+        end = more.end()
 
     def arcs() -> Iterator[Arc]:
-        for i, (x, _) in enumerate(tokens):
-            for j in range(len(tokens), i, -1):
-                whole = i == 0 and j == len(tokens)
-                if whole or j == i + 1 or text[x] in "(+" and j == len(tokens):
-                    yield from _number_arcs(text, x, tokens[j - 1][1], whole)
+        for t in _NUMBER.finditer(text, a, end):
+            x, y = t.span()
+            opens = text[x] in "(+"
+            if opens or x == a:
+                ends = [m.end() for m in islice(_NUMBER.finditer(text, x, end), MAX_TOKENS)]
+                for b in reversed(ends[1:]):
+                    whole = x == a and b == end
+                    if whole or opens and (b == end or text[b + 1] in "(+"):
+                        yield from _number_arcs(text, x, b, whole)
+            if y - x >= 7:
+                yield from _number_arcs(text, x, y, x == a and y == end)
 
     return end, arcs()
 
